@@ -116,16 +116,17 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, n
     step = math.isqrt(tasks)
     if step > 8:
         parts = parts.withColumn("task", F.col("task") % step).groupBy("slab", "task").applyInArrow(_add(np.int64), _PARTIAL_DDL)
-    sums = np.zeros((_SLABS, BUCKETS // _SLABS * (DIMENSIONS + 1)), np.float32)
+    vectors, count = np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros(BUCKETS)
     for row in parts.groupBy("slab").applyInArrow(_add(np.float32), _PARTIAL_DDL).select("slab", "sums").toLocalIterator():
-        sums[row["slab"]] = np.frombuffer(row["sums"], np.float32)
-    sums = sums.reshape(BUCKETS, DIMENSIONS + 1)
-    count = sums[:, -1].astype(np.float64)
+        own = slice(row["slab"] * BUCKETS // _SLABS, (row["slab"] + 1) * BUCKETS // _SLABS)
+        sums = np.frombuffer(row["sums"], np.float32).reshape(-1, DIMENSIONS + 1)
+        vectors[own], count[own] = sums[:, :-1], sums[:, -1]
     total = max(1.0, count.sum())
-    mean = (sums[:, :-1].sum(axis=0, dtype=np.float64) / total).astype(np.float32)
-    vectors = sums[:, :-1] / np.maximum(count, 1).astype(np.float32)[:, None] - mean
+    mean = (vectors.sum(axis=0, dtype=np.float64) / total).astype(np.float32)
+    vectors /= np.maximum(count, 1).astype(np.float32)[:, None]
+    vectors -= mean
     vectors[count == 0] = 0
-    length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
+    length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors)).astype(np.float64)
     vectors /= np.where(length > 0, length, 1).astype(np.float32)[:, None]
     excess = np.maximum(0, length**2 * count / NONZEROS - 1)
     return vectors, (excess / (1 + excess) * FREQUENCY_WEIGHT / (FREQUENCY_WEIGHT + count / total)).astype(np.float32)
@@ -252,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     rows = texts.join(F.broadcast(chosen), "id").select("id", "quality", "toxic", "text").mapInArrow(features, "id bigint, quality double, toxic double, x binary").toPandas()
     rows = rows.sort_values(["id", "quality", "toxic"], kind="stable")
-    rows = rows[[len(x) > 0 for x in rows["x"]]]
+    rows = rows.loc[np.array([len(x) > 0 for x in rows["x"]], bool)]
     x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float32).reshape(-1, DIMENSIONS).astype(np.float64)
     net = fit(x, np.stack([1 - rows["quality"].to_numpy(float), rows["toxic"].to_numpy(float)], axis=1))
     shared.destroy()
