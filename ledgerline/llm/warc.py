@@ -83,7 +83,7 @@ class Corrupt(ValueError):
 
 def members(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
     """The decompressed pieces of each gzip member in turn; plain files are one member."""
-    left = stream.read(PIECE)
+    left = stream.read(max(2, PIECE))
     if left[:2] != b"\x1f\x8b":
 
         def plain(piece: bytes) -> Iterator[bytes]:
@@ -100,13 +100,16 @@ def members(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
         def member(piece: bytes, state: dict = state) -> Iterator[bytes]:
             inflater = zlib.decompressobj(31)
             while piece:
-                try:
-                    out = inflater.decompress(piece, PIECE)
-                    while out:
+                while True:
+                    try:
+                        out = inflater.decompress(piece, PIECE)
+                    except zlib.error as e:
+                        raise Corrupt(str(e)) from e
+                    if out:
                         yield out
-                        out = inflater.decompress(inflater.unconsumed_tail, PIECE) if inflater.unconsumed_tail else b""
-                except zlib.error as e:
-                    raise Corrupt(str(e)) from e
+                    piece = inflater.unconsumed_tail
+                    if inflater.eof or not out and not piece:
+                        break
                 if inflater.eof:
                     state["rest"] = inflater.unused_data
                     return

@@ -24,7 +24,9 @@ def test_keys_move_only_with_changed_weights(spark):
     more = [(*x[:3], x[3] + 3) if x[:3] == (region, rack, shard) else x for x in S.LEAVES]
     before, after = placed(keys), placed(keys, more)
     moved = [k for k in before if before[k] != after[k]]
-    assert moved and all(after[k] == (region, rack, shard) for k in moved)
+    assert moved and all(after[k][0] == region for k in moved)  # other regions only lose
+    assert all(after[k][1] == rack for k in moved if before[k][0] == region)  # its other racks lose to the changed one
+    assert all(after[k][2] == shard for k in moved if before[k][:2] == (region, rack))
     gone = [x for x in S.LEAVES if x[:3] != (region, rack, shard)]
     after = placed(keys, gone)
     assert all(before[k] == (region, rack, shard) or after[k] == before[k] or before[k][0] == region for k in before)
