@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.plans import list_queries, match_queries, state_queries, text_queries
+
+_PARTS = (list_queries, text_queries, match_queries, state_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["match_cascade"](spark, sf_dir)
+    return match_queries.match_cascade(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
