@@ -24,15 +24,15 @@ def duration_tolerance(ms: Column | str) -> Column:
 
 def artist_score(artist: Column, every: Column, primary: Column, t_artist: Column, t_primary: Column, t_every: Column) -> Column:
     """The best of: whole names, each source artist with the whole name, primaries, and pairs of artists over 80. All normalised."""
-    each = F.array_max(F.transform(every, lambda a: best_ratio(a, t_artist)))
-    cross = F.array_max(F.transform(every, lambda a: F.array_max(F.transform(t_every, lambda b: best_ratio(a, b)))))
-    return F.greatest(best_ratio(artist, t_artist), each, best_ratio(primary, t_primary), F.when(cross > 80, cross))
+    each = F.transform(every, lambda a: best_ratio(a, t_artist))
+    cross = F.flatten(F.transform(every, lambda a: F.transform(t_every, lambda b: best_ratio(a, b))))
+    whole = F.array(best_ratio(artist, t_artist), best_ratio(primary, t_primary))
+    return F.array_max(F.concat(whole, each, F.filter(cross, lambda x: x > 80)))
 
 
 def artist_in_title(every: Column, t_title: Column) -> Column:
     """The best partial ratio of a source artist in the target's title, if over 70, else null."""
-    best = F.array_max(F.transform(every, lambda a: partial_ratio(a, t_title)))
-    return F.when(best > 70, best)
+    return F.array_max(F.filter(F.transform(every, lambda a: partial_ratio(a, t_title)), lambda x: x > 70))
 
 
 def combined_score(title: Column, artist: Column, album_sort: Column, albums_known: Column, only_target_compiles: Column) -> Column:

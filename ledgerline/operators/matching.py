@@ -117,22 +117,26 @@ def match_fuzzy(scored: DataFrame) -> DataFrame:
 
 def match_fallback(source: DataFrame, target: DataFrame) -> DataFrame:
     """(source_id, target_id, match_type, score): the first candidate, by priority of search and rank, that passes that search's gates."""
-    title_key = F.split("n_title", " ")[0]
-    source = source.withColumn("title_block", title_key)
-    target = target.withColumn("t_title_block", F.split("tn_title", " ")[0])
-    # an enabled search's block and title; both null where it isn't enabled
-    searches = {
-        "fuzzy_album": (F.col("has_album"), "n_album", "n_title", "tn_album"),
-        "fuzzy_clean": (F.col("h_title") != F.col("n_title"), "h_artist", "h_title", "th_artist"),
-        "fuzzy_primary": (F.col("has_guests"), "n_primary", "n_title", "tn_primary"),
-        "fuzzy_artist": (F.col("n_partial") != "", "n_artist", "n_partial", "tn_artist"),
-        "fuzzy_title": (F.lit(True), "title_block", "n_title", "t_title_block"),
-    }
-    found = None
-    for prio, name in enumerate(FALLBACKS):
-        enabled, block, title, t_block = searches[name]
-        part = _searched(source.where(enabled), target, block, title, t_block).withColumn("match_type", F.lit(name)).withColumn("prio", F.lit(prio))
-        found = part if found is None else found.unionByName(part)
+    first = {c: F.split(c, " ")[0] for c in ("n_title", "tn_title")}
+    # (enabled, block, title, the target's block) in order of priority; all are one search over tagged blocks
+    searches = [
+        (F.col("has_album"), F.col("n_album"), F.col("n_title"), F.col("tn_album")),
+        (F.col("h_title") != F.col("n_title"), F.col("h_artist"), F.col("h_title"), F.col("th_artist")),
+        (F.col("has_guests"), F.col("n_primary"), F.col("n_title"), F.col("tn_primary")),
+        (F.col("n_partial") != "", F.col("n_artist"), F.col("n_partial"), F.col("tn_artist")),
+        (F.lit(True), first["n_title"], F.col("n_title"), first["tn_title"]),
+    ]
+
+    def tagged(prio: int, block: Column) -> Column:
+        return F.when(block != "", F.concat(F.lit(f"{prio}|"), block)).alias("block")
+
+    asks = F.array_compact(F.array(*(F.when(on, F.struct(F.lit(p).alias("prio"), tagged(p, block), title.alias("title"))) for p, (on, block, title, _) in enumerate(searches))))
+    offers = F.array(*(tagged(p, t_block) for p, (*_, t_block) in enumerate(searches)))
+    asked = source.select("source_id", F.explode(asks).alias("q")).select(F.struct("source_id", "q.prio").alias("query_id"), "q.block", "q.title")
+    offered = target.select("target_id", F.explode(offers).alias("block"), F.col("tn_title").alias("title"))
+    hits = top_candidates(asked, offered).select("query_id.source_id", "query_id.prio", "target_id", "rank")
+    names = F.array(*map(F.lit, FALLBACKS))
+    found = source.join(hits, "source_id").join(target, "target_id").withColumn("match_type", F.get(names, F.col("prio")))
     scored = score_distinct(score_pairs(found), "n_artist", "tn_artist", "plain_artist", best_ratio)
     title, artist, diff, limit = F.col("title_score"), F.col("plain_artist"), _diff(), C.duration_tolerance("duration_ms")
     kind = F.col("match_type")

@@ -100,8 +100,12 @@ def album_counters(report_: DataFrame) -> DataFrame:
 def merge_reports(reports: DataFrame, lists: list[str] = ()) -> DataFrame:
     """One report of many: numbers add up, lists are concatenated by chunk."""
     numbers = [c for c, t in reports.dtypes if c != "chunk" and c not in lists and t in ("int", "bigint", "double")]
-    joined = [F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", c))), lambda x, c=c: x[c])).alias(c) for c in lists]
-    return reports.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers), *joined)
+
+    def by_chunk(c: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.struct("chunk", F.col(c).alias("list"))))
+        return F.flatten(F.transform(rows, lambda x: x["list"])).alias(c)
+
+    return reports.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers), *map(by_chunk, lists))
 
 
 def final_report(reports: DataFrame, lists: list[str]) -> DataFrame:

@@ -92,36 +92,36 @@ QUERIES = {f.__name__: f for f in (match_cascade, match_suggestions, exact_match
 
 # The same in SQL, naively: every pair of a block is scored.
 
-_SOURCE = f"""{M.duck('src0', M.SOURCE)}, src AS (SELECT id AS sid, position, title, artist, album, duration_ms, code, nullif({D.code_key('code')}, '') AS ck,
+_SOURCE = f"""{M.duck('src0', M.SOURCE)}, src AS MATERIALIZED (SELECT id AS sid, position, title, artist, album, duration_ms, code, nullif({D.code_key('code')}, '') AS ck,
 {D.normalize('title')} AS nt, {D.normalize('artist')} AS na, {D.normalize('album')} AS nal, {D.normalize_hard('artist')} AS ha, {D.normalize(D.primary('artist'))} AS np,
 len({D.featured('artist')}) > 0 AS guests, {D.normalize(f"array_to_string(list_filter({D.tokens('title')}, lambda w: length(w) > 2)[1:2], ' ')")} AS part FROM src0),
-src1 AS (SELECT *, {D.normalize_hard('nt', True)} AS ht FROM src)"""
-_TARGET = f"""{M.duck('tgt0', M.TARGET)}, tgt AS (SELECT id AS tid, title AS ttitle, artist AS tartist, duration_ms AS td, {D.code_key('code')} AS tck, {D.normalize('title')} AS tnt, {D.normalize('artist')} AS tna,
+src1 AS MATERIALIZED (SELECT *, {D.normalize_hard('nt', True)} AS ht FROM src)"""
+_TARGET = f"""{M.duck('tgt0', M.TARGET)}, tgt AS MATERIALIZED (SELECT id AS tid, title AS ttitle, artist AS tartist, duration_ms AS td, {D.code_key('code')} AS tck, {D.normalize('title')} AS tnt, {D.normalize('artist')} AS tna,
 {D.normalize('album')} AS tnal, {D.normalize_hard('artist')} AS tha, {D.normalize(D.primary('artist'))} AS tnp FROM tgt0)"""
-_CODES = "by_code AS (SELECT s.sid, min(t.tid) AS tid FROM src1 s JOIN tgt t ON s.ck = t.tck GROUP BY s.sid), rest AS (SELECT * FROM src1 WHERE sid NOT IN (SELECT sid FROM by_code))"
+_CODES = "by_code AS MATERIALIZED (SELECT s.sid, min(t.tid) AS tid FROM src1 s JOIN tgt t ON s.ck = t.tck GROUP BY s.sid), rest AS MATERIALIZED (SELECT * FROM src1 WHERE sid NOT IN (SELECT sid FROM by_code))"
 
 
 def _search(name: str, rows: str, block: str, title: str, t_block: str, kind: str, prio: int) -> str:
-    return f"""{name}_p AS (SELECT s.*, t.*, {title} AS q FROM ({rows}) s JOIN tgt t ON {block} = {t_block} WHERE {block} != '' AND {title} != '' AND tnt != ''),
-{name}_d AS (SELECT q, tnt, {D.best_ratio('q', 'tnt')} AS rs FROM (SELECT DISTINCT q, tnt FROM {name}_p)),
-{name} AS (SELECT p.* EXCLUDE (q), '{kind}' AS kind, {prio} AS prio, row_number() OVER (PARTITION BY sid ORDER BY rs DESC, tid) AS rank FROM {name}_p p JOIN {name}_d d ON p.q = d.q AND p.tnt = d.tnt QUALIFY rank <= 15)"""
+    return f"""{name}_p AS MATERIALIZED (SELECT s.*, t.*, {title} AS q FROM ({rows}) s JOIN tgt t ON {block} = {t_block} WHERE {block} != '' AND {title} != '' AND tnt != ''),
+{name}_d AS MATERIALIZED (SELECT q, tnt, {D.best_ratio('q', 'tnt')} AS rs FROM (SELECT DISTINCT q, tnt FROM {name}_p)),
+{name} AS MATERIALIZED (SELECT p.* EXCLUDE (q), '{kind}' AS kind, {prio} AS prio, row_number() OVER (PARTITION BY sid ORDER BY rs DESC, tid) AS rank FROM {name}_p p JOIN {name}_d d ON p.q = d.q AND p.tnt = d.tnt QUALIFY rank <= 15)"""
 
 
 def _scored(name: str, of: str) -> str:
     cross = f"CASE WHEN {D.best_ratio('na', 'tnp')} > 80 THEN {D.best_ratio('na', 'tnp')} END"
     in_title = f"CASE WHEN {D.partial_ratio('na', 'tnt')} > 70 THEN {D.partial_ratio('na', 'tnt')} END"
     base = "(ts * 0.5::DOUBLE + ars * 0.5::DOUBLE)"
-    return f"""{name}_t AS (SELECT nt, tnt, {D.best_ratio('nt', 'tnt')} AS ts FROM (SELECT DISTINCT nt, tnt FROM {of})),
-{name}_a AS (SELECT na, np, tna, tnp, tnt, {D.best_ratio('na', 'tna')} AS plain, greatest({D.best_ratio('na', 'tna')}, {D.best_ratio('np', 'tnp')}, {cross}, {in_title}) AS ars FROM (SELECT DISTINCT na, np, tna, tnp, tnt FROM {of})),
-{name}_al AS (SELECT nal, tnal, {D.token_sort_ratio('nal', 'tnal')} AS als FROM (SELECT DISTINCT nal, tnal FROM {of})),
-{name} AS (SELECT o.*, ts, ars, plain, abs(duration_ms - td) AS diff, CASE WHEN nal != '' AND tnal != '' AND als > 85 THEN least(100.0::DOUBLE, {base} + 8) WHEN nal != '' AND tnal != '' AND als > 70 THEN least(100.0::DOUBLE, {base} + 4)
-WHEN nal != '' AND tnal != '' AND {D.is_compilation('tnal')} AND NOT {D.is_compilation('nal')} THEN greatest(0.0::DOUBLE, {base} - 5) ELSE {base} END AS comb
+    return f"""{name}_t AS MATERIALIZED (SELECT nt, tnt, {D.best_ratio('nt', 'tnt')} AS ts FROM (SELECT DISTINCT nt, tnt FROM {of})),
+{name}_a AS MATERIALIZED (SELECT na, np, tna, tnp, tnt, {D.best_ratio('na', 'tna')} AS plain, greatest({D.best_ratio('na', 'tna')}, {D.best_ratio('np', 'tnp')}, {cross}, {in_title}) AS ars FROM (SELECT DISTINCT na, np, tna, tnp, tnt FROM {of})),
+{name}_al AS MATERIALIZED (SELECT nal, tnal, {D.token_sort_ratio('nal', 'tnal')} AS als FROM (SELECT DISTINCT nal, tnal FROM {of})),
+{name} AS MATERIALIZED (SELECT o.*, ts, ars, plain, abs(duration_ms - td) AS diff, CASE WHEN o.nal != '' AND o.tnal != '' AND als > 85 THEN least(100.0::DOUBLE, {base} + 8) WHEN o.nal != '' AND o.tnal != '' AND als > 70 THEN least(100.0::DOUBLE, {base} + 4)
+WHEN o.nal != '' AND o.tnal != '' AND {D.is_compilation('o.tnal')} AND NOT {D.is_compilation('o.nal')} THEN greatest(0.0::DOUBLE, {base} - 5) ELSE {base} END AS comb
 FROM {of} o JOIN {name}_t t ON o.nt = t.nt AND o.tnt = t.tnt JOIN {name}_a a ON o.na = a.na AND o.np = a.np AND o.tna = a.tna AND o.tnp = a.tnp AND o.tnt = a.tnt JOIN {name}_al l ON o.nal = l.nal AND o.tnal = l.tnal)"""
 
 
-_MAIN = ",\n".join([_search("main", "SELECT * FROM rest", "np", "nt", "tnp", "main", 0), _scored("sc0", "main"), "sc AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY comb DESC, rank) AS place FROM sc0)"])
+_MAIN = ",\n".join([_search("main", "SELECT * FROM rest", "np", "nt", "tnp", "main", 0), _scored("sc0", "main"), "sc AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY comb DESC, rank) AS place FROM sc0)"])
 _TOL = D.duration_tolerance("duration_ms")
-_FUZZY = f"fuzzy AS (SELECT sid, tid, comb AS score FROM sc WHERE place = 1 AND comb >= {C.MIN_COMBINED} AND diff <= {_TOL}), left_ AS (SELECT * FROM rest WHERE sid NOT IN (SELECT sid FROM fuzzy))"
+_FUZZY = f"fuzzy AS MATERIALIZED (SELECT sid, tid, comb AS score FROM sc WHERE place = 1 AND comb >= {C.MIN_COMBINED} AND diff <= {_TOL}), left_ AS MATERIALIZED (SELECT * FROM rest WHERE sid NOT IN (SELECT sid FROM fuzzy))"
 _FALLBACK = ",\n".join(
     [
         _search("f0", "SELECT * FROM left_ WHERE coalesce(album, '') != ''", "nal", "nt", "tnal", "fuzzy_album", 0),
@@ -131,7 +131,7 @@ _FALLBACK = ",\n".join(
         _search("f4", "SELECT * FROM left_", "split_part(nt, ' ', 1)", "nt", "split_part(tnt, ' ', 1)", "fuzzy_title", 4),
         "fall AS (" + " UNION ALL BY NAME ".join(f"SELECT * FROM f{k}" for k in range(5)) + ")",
         _scored("fsc", "fall"),
-        f"""found AS (SELECT sid, tid, kind, CASE kind WHEN 'fuzzy_title' THEN ts * 0.7::DOUBLE + plain * 0.3::DOUBLE WHEN 'fuzzy_artist' THEN ts * 0.4::DOUBLE + plain * 0.6::DOUBLE ELSE comb END AS score FROM fsc
+        f"""found AS MATERIALIZED (SELECT sid, tid, kind, CASE kind WHEN 'fuzzy_title' THEN ts * 0.7::DOUBLE + plain * 0.3::DOUBLE WHEN 'fuzzy_artist' THEN ts * 0.4::DOUBLE + plain * 0.6::DOUBLE ELSE comb END AS score FROM fsc
 WHERE CASE kind WHEN 'fuzzy_title' THEN ts >= 92 AND plain >= 40 AND diff <= 3000 WHEN 'fuzzy_artist' THEN plain >= 85 AND ts >= 70 AND diff <= {_TOL} ELSE comb >= {C.MIN_FALLBACK} AND diff <= {_TOL} END
 QUALIFY row_number() OVER (PARTITION BY sid ORDER BY prio, rank) = 1)""",
     ]
@@ -139,7 +139,7 @@ QUALIFY row_number() OVER (PARTITION BY sid ORDER BY prio, rank) = 1)""",
 
 
 def _cascade(codes: str = _CODES) -> str:
-    return f"WITH {_SOURCE},\n{_TARGET},\n{codes},\n{_MAIN},\n{_FUZZY},\n{_FALLBACK},\nmatched AS (SELECT sid, tid, 'code' AS kind, 100.0::DOUBLE AS score FROM by_code UNION ALL SELECT sid, tid, 'fuzzy', score FROM fuzzy UNION ALL SELECT sid, tid, kind, score FROM found)"
+    return f"WITH {_SOURCE},\n{_TARGET},\n{codes},\n{_MAIN},\n{_FUZZY},\n{_FALLBACK},\nmatched AS MATERIALIZED (SELECT sid, tid, 'code' AS kind, 100.0::DOUBLE AS score FROM by_code UNION ALL SELECT sid, tid, 'fuzzy', score FROM fuzzy UNION ALL SELECT sid, tid, kind, score FROM found)"
 
 
 _ALIKE = f"len(list_filter(list_distinct({D.tokens('lower(artist)')}), lambda w: length(w) > 1 AND list_contains({D.tokens('lower(tartist)')}, w))) > 0"
@@ -150,8 +150,8 @@ WHERE sid NOT IN (SELECT sid FROM matched) AND place <= 10 AND comb >= 40 AND ar
 _FAV = M.duck("fav", M.FAVORITES) + ", " + M.duck("ledger", M.LEDGER) + ", fmap AS (SELECT code, max_by(id, position) AS fid FROM fav WHERE code IS NOT NULL GROUP BY code)"
 _SYNC_CODES = f"""{_FAV}, state AS (SELECT s.sid, s.position, CASE WHEN sid IN (SELECT source_id FROM ledger) THEN 'skipped' WHEN s.code IN (SELECT code FROM fmap) THEN 'already' END AS status FROM src1 s),
 open_ AS (SELECT * FROM src1 WHERE sid IN (SELECT sid FROM state WHERE status IS NULL)),
-by_code AS (SELECT s.sid, coalesce(min(f.fid), min(t.tid)) AS tid FROM open_ s LEFT JOIN fmap f ON {D.code_key('f.code')} = s.ck LEFT JOIN tgt t ON s.ck = t.tck GROUP BY s.sid HAVING coalesce(min(f.fid), min(t.tid)) IS NOT NULL),
-rest AS (SELECT * FROM open_ WHERE sid NOT IN (SELECT sid FROM by_code))"""
+by_code AS MATERIALIZED (SELECT s.sid, coalesce(min(f.fid), min(t.tid)) AS tid FROM open_ s LEFT JOIN fmap f ON {D.code_key('f.code')} = s.ck LEFT JOIN tgt t ON s.ck = t.tck GROUP BY s.sid HAVING coalesce(min(f.fid), min(t.tid)) IS NOT NULL),
+rest AS MATERIALIZED (SELECT * FROM open_ WHERE sid NOT IN (SELECT sid FROM by_code))"""
 _SYNC = (
     _cascade(_SYNC_CODES)
     + """, cl AS (SELECT st.sid AS source_id, st.position, (st.position - 1) // 50 AS chunk, coalesce(st.status, CASE WHEN m.tid IS NOT NULL THEN 'matched' ELSE 'missing' END) AS status, m.tid AS target_id, CASE WHEN st.status = 'already' THEN 'code' ELSE m.kind END AS kind,
@@ -173,7 +173,7 @@ svs AS (SELECT id, unnest(vs) AS v FROM sa), names AS (SELECT DISTINCT lower(a)
 ns AS (SELECT a, b, {D.best_ratio('a', 'b')} AS s FROM names)"""
     score = """sc AS (SELECT p.*, (SELECT max(ns.s) FROM ns WHERE list_contains(list_transform(p.vs, lambda v: lower(v)), ns.a) AND list_contains(list_transform(p.tvs, lambda v: lower(v)), ns.b)) AS ts FROM pairs p)"""
     del variants
-    match = f"""WITH {start}, by_code AS (SELECT s.id, min(t.tid) AS tid FROM sa s JOIN ta t ON s.code = t.tcode GROUP BY 1), rest AS (SELECT * FROM sa WHERE id NOT IN (SELECT id FROM by_code)),
+    match = f"""WITH {start}, by_code AS MATERIALIZED (SELECT s.id, min(t.tid) AS tid FROM sa s JOIN ta t ON s.code = t.tcode GROUP BY 1), rest AS MATERIALIZED (SELECT * FROM sa WHERE id NOT IN (SELECT id FROM by_code)),
 va AS (SELECT id, artist, vi - 1 AS vi, lower(vs[vi]) AS v FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS vi FROM rest)),
 hits AS (SELECT va.id, va.vi, 0 AS k, t.tid, row_number() OVER (PARTITION BY va.id, va.vi ORDER BY ns.s DESC, t.tid) AS r FROM va JOIN ta t ON va.artist = t.tartist JOIN ns ON ns.a = va.v AND ns.b = lower(t.ttitle) QUALIFY r <= 10),
 firsts AS (SELECT id, tid, min(vi) AS vi FROM hits GROUP BY 1, 2), want AS (SELECT va.* FROM va WHERE vi > 0 AND (SELECT count(*) FROM firsts f WHERE f.id = va.id AND f.vi <= va.vi) < 5),
