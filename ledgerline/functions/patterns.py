@@ -40,8 +40,8 @@ TRIM = rf"\A{SPACE}+|{SPACE}+\z"
 COMBINING = r"[\x{0300}-\x{036F}]"
 NOT_LETTER_NUMBER = rf"[^\p{{L}}\p{{N}}{spaces()}]"
 
-GUEST_AFTER = rf"(?i)^(.+?){SPACE}+(?:feat\.?|ft\.?|featuring){SPACE}+(.+)\z"
-GUEST_BRACKETED = rf"(?i)^(.+?){SPACE}*[(\[](?:feat\.?|ft\.?|featuring){SPACE}+([^\])]+)[\])]"
+GUEST_AFTER = rf"(?i)^(.+?){SPACE}+(?:featuring|feat\.?|ft\.?){SPACE}+(.+)\z"
+GUEST_BRACKETED = rf"(?i)^(.+?){SPACE}*[(\[](?:featuring|feat\.?|ft\.?){SPACE}+([^\])]+)[\])]"
 ARTIST_SEPARATOR = rf"(?i){SPACE}*[,&]{SPACE}*|{SPACE}+and{SPACE}+"
 
 _ORDINAL = r"[0-9]+(?:nd|rd|st|th)?"
