@@ -200,7 +200,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 60, se
     order = rng.permutation(len(x))
     held, train = order[: len(x) // 5], order[len(x) // 5 :]
     mean, scale = x[train].mean(axis=0), x[train].std(axis=0) + 1e-6
-    z = (x - mean) / scale
+    z = ((x - mean) / scale).astype(np.float32)
     known = ~np.isnan(y)
     target = np.where(known, y, 0)
     share = np.clip((target[train] * known[train]).sum(axis=0) / np.maximum(known[train].sum(axis=0), 1), 1e-6, 1 - 1e-6)
@@ -252,11 +252,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("double"), F.col("toxic").cast("double")).where("id IS NOT NULL").dropDuplicates().orderBy(F.xxhash64("id"), "id", "quality", "toxic").limit(train_rows)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     rows = texts.join(F.broadcast(chosen), "id").select("id", "quality", "toxic", "text").mapInArrow(features, "id bigint, quality double, toxic double, x binary").toPandas()
+    shared.destroy()
     rows = rows.sort_values(["id", "quality", "toxic"], kind="stable")
     rows = rows.loc[np.array([len(x) > 0 for x in rows["x"]], bool)]
-    x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float32).reshape(-1, DIMENSIONS).astype(np.float64)
+    x = np.frombuffer(b"".join(rows.pop("x")), np.float32).reshape(-1, DIMENSIONS)
     net = fit(x, np.stack([1 - rows["quality"].to_numpy(float), rows["toxic"].to_numpy(float)], axis=1))
-    shared.destroy()
     return Model((vectors @ net.w1).astype(np.float32), weight, net)
 
 
