@@ -32,7 +32,7 @@ TARGET_RECALL = 0.95
 SAMPLES = 3
 MAX_REPETITIONS = 64
 #: Items that one pass over the documents is held against; more items take more passes.
-ITEMS_A_PASS = 50_000
+ITEMS_A_PASS = 20_000
 _U = np.uint64
 _RESULT = "doc_id bigint, item_id bigint, distance int, n_words int, start_word bigint, end_word bigint"
 _NAMES = ["doc_id", "item_id", "distance", "n_words", "start_word", "end_word"]
@@ -104,7 +104,7 @@ class Index:
             own = [x for x in items if len(x[1]).bit_length() - 1 == k]
             self.groups.append((own, self._repetitions(own, 1 << k, target)))
         entries = [mix(w ^ _U(k)) for own, _ in self.groups for k, (_, w) in enumerate(own)]
-        self.belongs = np.zeros(1 << max(16, (64 * sum(map(len, entries))).bit_length()), bool)
+        self.belongs = np.zeros(1 << max(16, (16 * sum(map(len, entries))).bit_length()), bool)
         for e in entries:
             self.belongs[(e & _U(len(self.belongs) - 1)).astype(np.int64)] = True
 

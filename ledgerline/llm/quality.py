@@ -116,22 +116,28 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, n
     step = math.isqrt(tasks)
     if step > 8:
         parts = parts.withColumn("task", F.col("task") % step).groupBy("slab", "task").applyInArrow(_add(np.int64), _PARTIAL_DDL)
-    vectors, count = np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros(BUCKETS)
+    # half precision is enough for unit vectors, and the driver holds no table but this one
+    vectors, count, column = np.zeros((BUCKETS, DIMENSIONS), np.float16), np.zeros(BUCKETS), np.zeros(DIMENSIONS)
     for row in parts.groupBy("slab").applyInArrow(_add(np.float32), _PARTIAL_DDL).select("slab", "sums").toLocalIterator():
-        own = slice(row["slab"] * BUCKETS // _SLABS, (row["slab"] + 1) * BUCKETS // _SLABS)
+        own = _slab(row["slab"])
         sums = np.frombuffer(row["sums"], np.float32).reshape(-1, DIMENSIONS + 1)
-        vectors[own], count[own] = sums[:, :-1], sums[:, -1]
-    total = max(1.0, count.sum())
-    mean = (vectors.sum(axis=0, dtype=np.float64) / total).astype(np.float32)
-    vectors /= np.maximum(count, 1).astype(np.float32)[:, None]
-    vectors -= mean
-    vectors[count == 0] = 0
-    length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors)).astype(np.float64)
-    vectors /= np.where(length > 0, length, 1).astype(np.float32)[:, None]
-    excess = np.maximum(0, length**2 * count / NONZEROS - 1)
+        vectors[own], count[own] = sums[:, :-1] / np.maximum(sums[:, -1:], 1), sums[:, -1]
+        column += sums[:, :-1].sum(axis=0, dtype=np.float64)
+    total, excess = max(1.0, count.sum()), np.zeros(BUCKETS)
+    for k in range(_SLABS):
+        own = _slab(k)
+        x = vectors[own].astype(np.float32) - (column / total).astype(np.float32)
+        x[count[own] == 0] = 0
+        length = np.linalg.norm(x, axis=1)
+        vectors[own] = x / np.where(length > 0, length, 1)[:, None]
+        excess[own] = np.maximum(0, length.astype(np.float64) ** 2 * count[own] / NONZEROS - 1)
     return vectors, (excess / (1 + excess) * FREQUENCY_WEIGHT / (FREQUENCY_WEIGHT + count / total)).astype(np.float32)
 
 
+def _slab(k: int) -> slice:
+    return slice(k * BUCKETS // _SLABS, (k + 1) * BUCKETS // _SLABS)
+
+
 def pool(column: pa.Array, table: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted means of the table's rows over each text's tokens, and the number of its tokens."""
     raw, offsets = text_buffer(column)
@@ -144,7 +150,7 @@ def pool(column: pa.Array, table: np.ndarray, weight: np.ndarray) -> tuple[np.nd
             own = slice(bounds[k], bounds[k + 1])
             total = each[own].sum()
             if total > 0:
-                out[first + k] = each[own] @ table[at[own]] / total
+                out[first + k] = each[own] @ table[at[own]].astype(np.float32, copy=False) / total
         n[first:last] = np.diff(bounds)
     return out, n
 
@@ -257,7 +263,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.loc[np.array([len(x) > 0 for x in rows["x"]], bool)]
     x = np.frombuffer(b"".join(rows.pop("x")), np.float32).reshape(-1, DIMENSIONS)
     net = fit(x, np.stack([1 - rows["quality"].to_numpy(float), rows["toxic"].to_numpy(float)], axis=1))
-    return Model((vectors @ net.w1).astype(np.float32), weight, net)
+    projected = np.concatenate([vectors[_slab(k)].astype(np.float32) @ net.w1 for k in range(_SLABS)])
+    return Model(projected.astype(np.float32), weight, net)
 
 
 def _scorer(spark: SparkSession, model: Model):
