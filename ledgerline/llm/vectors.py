@@ -7,8 +7,10 @@
    than the vector is). A vector's lists from its shards are united.
 3. Every vector is a query in its home shard, over the united edges: a greedy search with a beam walks
    from the shard's medoid to it, then the range is expanded, edge by edge, through everything within it.
-4. Pairs are verified by exact cosine. Recall is audited: a hashed choice of vectors is compared with all
-   others exactly; below the target the search is done again with more overlap and a wider beam.
+4. Pairs are verified by exact cosine. Recall is audited: hashed choices of vectors are compared with all
+   others exactly, until EVIDENCE of them have partners or all have been compared. If the mean over these
+   of the share of partners found is below the target, the search is done again with more overlap and a
+   wider beam. Where all vectors have been compared, those pairs are the result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,13 @@ ALPHA = 1.2
 BEAM = 24
 ROUNDS = 3
 TARGET_RECALL = 0.95
-AUDITED = 200
+#: Vectors audited at first; twice as many follow until so many of all audited have partners.
+AUDITED, EVIDENCE = 200, 100
+#: Numbers that the vectors of one audited choice have together, at most.
+AUDIT_FLOATS = 4_000_000
+_HASHES = 1 << 30
+#: Single precision may put a pair a little under the threshold; verification decides.
+SLACK = 1e-4
 _log = logging.getLogger(__name__)
 
 
@@ -178,8 +186,6 @@ def _beam(x: np.ndarray, q: np.ndarray, graph: np.ndarray, start: int, beam: int
 
 
 def _search(dims: int, threshold: float, beam: int):
-    slack = 1e-4  # single precision may put a pair a little under the threshold; verification decides
-
     def run(group: pa.Table) -> pa.Table:
         ids, x = group.column("vec_id").to_numpy(), _matrix(group.column("v"), dims)
         order = np.argsort(ids, kind="stable")
@@ -209,7 +215,7 @@ def _search(dims: int, threshold: float, beam: int):
             seen[:, m] = True
             seen[np.arange(len(queries)), queries] = True  # the query's own place is in the range
             row, node = np.concatenate([row, np.arange(len(queries))]), np.concatenate([node, queries])
-            near = np.einsum("nd,nd->n", x[queries[row]], x[node]) >= threshold - slack
+            near = np.einsum("nd,nd->n", x[queries[row]], x[node]) >= threshold - SLACK
             frontier = np.unique(row[near] * (m + 1) + node[near])
             while len(frontier):
                 row, node = frontier // (m + 1), frontier % (m + 1)
@@ -220,7 +226,7 @@ def _search(dims: int, threshold: float, beam: int):
                 onward = np.unique(onward[~seen.ravel()[onward]])
                 row, node = onward // (m + 1), onward % (m + 1)
                 seen.ravel()[onward] = True
-                frontier = onward[np.einsum("nd,nd->n", x[queries[row]], x[node]) >= threshold - slack]
+                frontier = onward[np.einsum("nd,nd->n", x[queries[row]], x[node]) >= threshold - SLACK]
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
         cosine = np.einsum("nd,nd->n", x[a].astype(np.float64), x[b].astype(np.float64))
         low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
@@ -232,7 +238,7 @@ def _search(dims: int, threshold: float, beam: int):
 
 
 def exact_pairs(unit: DataFrame, dims: int, threshold: float, queries: DataFrame) -> DataFrame:
-    """(vec_a, vec_b) of each of some few queries with all vectors, by comparing them all."""
+    """(vec_id, vec_a, vec_b, cosine) of each of some few queries with all vectors, by comparing them all."""
     few = queries.toArrow()
     ids, q = few.column("vec_id").to_numpy(), _matrix(few.column("v"), dims)
     shared = unit.sparkSession.sparkContext.broadcast((ids, q))
@@ -240,12 +246,40 @@ def exact_pairs(unit: DataFrame, dims: int, threshold: float, queries: DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_ids, own = shared.value
         for batch in batches:
-            other = batch.column(0).to_numpy()
-            row, k = np.nonzero(_matrix(batch.column(1), dims).astype(np.float64) @ own.T.astype(np.float64) >= threshold)
-            a, b = np.minimum(other[row], own_ids[k]), np.maximum(other[row], own_ids[k])
-            yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], ["vec_a", "vec_b"])
+            others, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dims)
+            for part in np.array_split(np.arange(len(x)), max(1, len(x) * len(own) // 4_000_000)):
+                row, k = np.nonzero(x[part] @ own.T >= threshold - SLACK)
+                row = part[row]
+                cosine = np.einsum("nd,nd->n", x[row].astype(np.float64), own[k].astype(np.float64))
+                good = (cosine >= threshold) & (others[row] != own_ids[k])
+                other, one = others[row[good]], own_ids[k[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.minimum(other, one)), pa.array(np.maximum(other, one)), pa.array(cosine[good])], ["vec_id", "vec_a", "vec_b", "cosine"])
+
+    return unit.mapInArrow(run, "vec_id bigint, vec_a bigint, vec_b bigint, cosine double")
+
+
+def _audit(unit: DataFrame, n: int, dims: int, threshold: float, evidence: int | None) -> tuple[DataFrame, bool]:
+    """exact_pairs of hashed choices of vectors, until evidence of them have partners, and whether all were compared."""
+    place = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(_HASHES))
+    most = max(1, AUDIT_FLOATS // dims)
+    truth, known, low, size = None, 0, 0, AUDITED if evidence is not None else most
+    while low < _HASHES and (evidence is None or known < evidence):
+        high = min(_HASHES, low + max(1, _HASHES * min(size, most) // n))
+        part = cut(exact_pairs(unit, dims, threshold, unit.where((place >= low) & (place < high))))
+        known += part.select("vec_id").distinct().count()
+        truth = part if truth is None else truth.unionByName(part)
+        low, size = high, 2 * size
+    return truth, low == _HASHES
+
+
+def _recall(truth: DataFrame, pairs: DataFrame) -> float:
+    """The mean, over the audited vectors that have partners, of the share of their partners that was found."""
+    hits = truth.join(pairs.select("vec_a", "vec_b", F.lit(1.0).alias("hit")), ["vec_a", "vec_b"], "left")
+    return hits.groupBy("vec_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("share")).agg(F.avg("share")).first()[0] or 0.0
+
 
-    return unit.mapInArrow(run, "vec_a bigint, vec_b bigint").distinct()
+def _united(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine")))
 
 
 def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, shard_size: int = SHARD_SIZE, target: float = TARGET_RECALL) -> DataFrame:
@@ -261,19 +295,20 @@ def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     n = unit.count()
     if n < 2:
         return spark.createDataFrame([], "vec_a bigint, vec_b bigint, cosine double")
+    truth, whole = _audit(unit, n, dims, threshold, EVIDENCE)
+    if whole:
+        return _united(truth)
     overlap, beam = OVERLAP, BEAM
     k = max(1, math.ceil(n * overlap / shard_size))
     centroids = _centroids(unit, k, dims)
-    audited = cut(unit.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(AUDITED))
-    truth = cut(exact_pairs(unit, dims, threshold, audited))
-    wanted = truth.count()
     while True:
         members = cut(_members(unit, centroids, overlap, dims))
         edges = members.groupBy("shard").applyInArrow(_edges(dims), "vec_id bigint, edges array<bigint>").groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
-        found = members.join(edges, "vec_id").groupBy("shard").applyInArrow(_search(dims, threshold, beam), "vec_a bigint, vec_b bigint, cosine double")
-        pairs = cut(found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine")))
-        recall = truth.join(pairs, ["vec_a", "vec_b"], "left_semi").count() / wanted if wanted else 1.0
-        _log.info("audited recall %.4f over %d pairs (overlap %d, beam %d)", recall, wanted, overlap, beam)
-        if recall >= target or overlap >= k and beam >= 4 * BEAM:
+        pairs = _united(members.join(edges, "vec_id").groupBy("shard").applyInArrow(_search(dims, threshold, beam), "vec_a bigint, vec_b bigint, cosine double"))
+        recall = _recall(truth, pairs)
+        _log.info("audited recall %.4f (overlap %d, beam %d)", recall, overlap, beam)
+        if recall >= target:
             return pairs
+        if overlap >= k and beam >= 4 * BEAM:
+            return _united(_audit(unit, n, dims, threshold, None)[0])
         overlap, beam = min(k, overlap + 1), 2 * beam

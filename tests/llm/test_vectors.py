@@ -58,3 +58,38 @@ def test_odd_rows(spark):
 def test_many_equal_vectors(spark):
     df = spark.createDataFrame(rows_of(np.ones((120, 4), np.float32)), SCHEMA)
     assert V.near_pairs(df, shard_size=50).count() == 120 * 119 // 2
+
+
+def isolated(pairs, crowd, seed, dims=64):
+    """Vectors of so many pairs at a cosine of about 0.955 that are near no others, and of a crowd of equal ones."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(pairs, dims)))
+    aside = rng.normal(size=(pairs, dims))
+    aside = unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    return np.concatenate([x, 0.955 * x + np.sqrt(1 - 0.955**2) * aside, np.tile(unit(rng.normal(size=(1, dims))), (crowd, 1))]).astype(np.float32)
+
+
+def test_isolated_pairs_are_found_beside_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(V, "OVERLAP", 1)  # loses as many pairs as two shards a vector do in a large table
+    x = isolated(1000, 500, 1)
+    got = {(r.vec_a, r.vec_b) for r in V.near_pairs(spark.createDataFrame(rows_of(x), SCHEMA), shard_size=50).collect()}
+    assert sum((k, 1000 + k) in got for k in range(1000)) >= 0.93 * 1000
+    assert sum(a >= 2000 for a, _ in got) >= 0.95 * 500 * 499 // 2
+
+
+def test_pairs_too_rare_for_a_sample_are_found(spark, monkeypatch):
+    monkeypatch.setattr(V, "OVERLAP", 1)
+    x = isolated(25, 0, 2)
+    x = np.concatenate([x, np.random.default_rng(3).normal(size=(3000, 64)).astype(np.float32)])
+    got = {(r.vec_a, r.vec_b) for r in V.near_pairs(spark.createDataFrame(rows_of(x), SCHEMA), shard_size=50).collect()}
+    assert got == {(k, 25 + k) for k in range(25)}
+
+
+def test_the_registered_query_finds_isolated_pairs(spark, tmp_path):
+    from ledgerline.llm import queries
+
+    x = isolated(4000, 300, 4)
+    spark.createDataFrame(rows_of(x), SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.vec_a, r.vec_b) for r in queries.op8_embedding_dedup(spark, str(tmp_path)).collect()}
+    assert sum((k, 4000 + k) in got for k in range(4000)) >= 0.93 * 4000
