@@ -1,13 +1,13 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing.
+"""SimHash near-duplicates by samples of the signature's bits.
 
-A document's signature has 256 bits: eight independent fingerprints of 32 bits over its distinct
-words. Two fingerprints at distance 2 or less share a point at distance 1 or less from both, so every
-fingerprint emits itself and its 32 neighbours, and equal points meet after one shuffle. Pairs that
-meet are deduplicated and verified by the Hamming distance of their whole signatures.
+A document's signature has 256 bits over its distinct words. A table samples BITS of them; signatures
+with an equal sample meet after one shuffle. Pairs that meet are deduplicated and verified by the
+Hamming distance of their whole signatures.
 
-With words changed at a rate that gives a bit a chance p to differ, a pair meets with probability
-1 - (1 - P[Bin(32, p) <= 2]) ** 8: 0.97 at p = 0.1, the mean of copies with a twentieth of the words
-replaced.
+Two signatures that differ in d bits share a sample with probability q = C(256 - d, BITS) / C(256, BITS),
+and meet in one of n tables with 1 - (1 - q) ** n. The number of tables follows from MAX_DISTANCE: a pair
+just there meets with probability MEET, a nearer one with more. For that distance, balls around samples
+(all variants of 28 bits at distance 1) take twice the entries and bring more chance meetings.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ from ledgerline.llm.components import components
 from ledgerline.llm.words import blocks, mix, text_buffer, words
 from ledgerline.storage import cut
 
-FINGERPRINTS = 8
-BITS = 32
-RADIUS = 2
+#: Bits of one sample; 8 more number the tables that share a group of the shuffle.
+BITS = 24
 #: Verified pairs differ in at most so many of the 256 bits (cosine of about 0.83).
 MAX_DISTANCE = 48
-#: Entries (12 bytes each) that one group of the variant shuffle holds on average.
+#: The probability that a pair at the greatest distance meets in a table.
+MEET = 0.9
+#: Entries (12 bytes each) that one group of the sample shuffle holds on average.
 ENTRIES_A_BUCKET = 1 << 20
-#: A point where more fingerprints meet is linked by exact search inside it instead of by all its pairs.
+#: A point where more signatures meet is linked by exact search inside it instead of by all its pairs.
 PAIRWISE = 16
 
 _U = np.uint64
@@ -80,29 +81,48 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
 
 
-_FLIPS = np.concatenate([[0], np.uint32(1) << np.arange(BITS, dtype=np.uint32)]).astype(np.uint32)
+def tables(max_distance: int = MAX_DISTANCE) -> int:
+    """How many tables let a pair at max_distance meet with probability MEET."""
+    if not 0 <= max_distance <= 256 - BITS:
+        raise ValueError(f"max_distance has to be between 0 and {256 - BITS}")
+    q = math.comb(256 - max_distance, BITS) / math.comb(256, BITS)
+    return 1 if q >= MEET else math.ceil(math.log(1 - MEET) / math.log1p(-q))
 
 
-def _variants(buckets: int):
-    """Blobs of (variant, id) for each fingerprint table and bucket of the variants' hashes."""
+def sampled_bits(count: int) -> np.ndarray:
+    """The bits that each of count tables samples, drawn from a fixed seed."""
+    rng = np.random.default_rng(7)
+    return np.stack([rng.permutation(256)[:BITS] for _ in range(count)])
+
+
+def _samples(count: int, together: int, buckets: int):
+    """Blobs of (point, id) for each group of tables and bucket of the points' hashes; a point is the
+    table's number in its group, then the sample."""
+    positions = sampled_bits(count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 10_000):
                 part = batch.slice(start, 10_000)
                 ids = part.column(0).to_numpy()
-                prints = np.stack([part.column(k + 1).to_numpy() for k in range(4)], axis=1).view(np.uint32)
-                for table in range(FINGERPRINTS):
-                    points = (prints[:, table, None] ^ _FLIPS).ravel()
-                    owners = np.repeat(ids, len(_FLIPS))
-                    home = mix(points.astype(np.uint64), 99) % _U(buckets)
-                    order = np.argsort(home.astype(np.uint16) if buckets <= 65536 else home, kind="stable")
-                    points, owners = points[order], owners[order]
-                    bounds = np.searchsorted(home[order], np.arange(buckets + 1))
+                prints = np.stack([part.column(k + 1).to_numpy() for k in range(4)], axis=1)
+                bits = np.ascontiguousarray(np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").T)
+                for group, first in enumerate(range(0, count, together)):
+                    points = np.empty((min(together, count - first), len(ids)), np.uint32)
+                    for k in range(len(points)):
+                        low, middle, high = np.packbits(bits[positions[first + k]], axis=0).astype(np.uint32)
+                        points[k] = (k << BITS) | (high << 16) | (middle << 8) | low
+                    points, owners = points.ravel(), np.tile(ids, len(points))
+                    bounds = np.array([0, len(points)])
+                    if buckets > 1:
+                        home = mix(points.astype(np.uint64), 99) % _U(buckets)
+                        order = np.argsort(home.astype(np.uint16) if buckets <= 65536 else home, kind="stable")
+                        points, owners = points[order], owners[order]
+                        bounds = np.searchsorted(home[order], np.arange(buckets + 1))
                     full = np.flatnonzero(np.diff(bounds))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(full * FINGERPRINTS + table, pa.int64()), *(pa.array([x[bounds[k] : bounds[k + 1]].tobytes() for k in full], pa.binary()) for x in (points, owners))],
-                        ["bucket", "points", "owners"],
+                        [pa.array(group * buckets + full, pa.int64()), pa.array(np.full(len(full), group), pa.int64()), *(pa.array([x[bounds[k] : bounds[k + 1]].tobytes() for k in full], pa.binary()) for x in (points, owners))],
+                        ["bucket", "tables", "points", "owners"],
                     )
 
     return run
@@ -110,7 +130,7 @@ def _variants(buckets: int):
 
 def _meet(group: pa.Table) -> pa.Table:
     """All pairs of ids at a point, with kind 0; members of a crowded point under the point's key, with kind 1."""
-    table = group.column("bucket")[0].as_py() % FINGERPRINTS
+    tables_ = group.column("tables")[0].as_py()
     points = np.frombuffer(b"".join(group.column("points").to_pylist()), np.uint32)
     owners = np.frombuffer(b"".join(group.column("owners").to_pylist()), np.int64)
     order = np.argsort(points, kind="stable")
@@ -125,7 +145,7 @@ def _meet(group: pa.Table) -> pa.Table:
         b.append(members[:, j].ravel())
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
     crowded = np.repeat(sizes > PAIRWISE, sizes)
-    keys = (np.int64(table) << 32) | points[crowded].astype(np.int64)
+    keys = (np.int64(tables_) << 32) | points[crowded].astype(np.int64)
     kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(keys), np.int32)])
     return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], keys]), "b": np.concatenate([pairs[:, 1], owners[crowded]])})
 
@@ -160,9 +180,11 @@ def near_duplicate_edges(prints: DataFrame, max_distance: int = MAX_DISTANCE) ->
     members gives all its pairs, a fuller one the edges of a spanning forest found by comparing all of
     its members, so that groups of thousands give no quadratic output.
     """
-    entries = prints.count() * FINGERPRINTS * len(_FLIPS)
-    buckets = max(1, math.ceil(entries / FINGERPRINTS / ENTRIES_A_BUCKET))
-    met = prints.select("id", *_SIGNATURE).mapInArrow(_variants(buckets), "bucket bigint, points binary, owners binary").groupBy("bucket").applyInArrow(_meet, "kind int, a bigint, b bigint")
+    n, count = max(1, prints.count()), tables(max_distance)
+    together = min(256, count, max(1, ENTRIES_A_BUCKET // n))
+    buckets = math.ceil(n * together / ENTRIES_A_BUCKET)
+    schema = "bucket bigint, tables bigint, points binary, owners binary"
+    met = prints.select("id", *_SIGNATURE).mapInArrow(_samples(count, together, buckets), schema).groupBy("bucket").applyInArrow(_meet, "kind int, a bigint, b bigint")
     met = cut(met)
     left, right = (prints.select(F.col("id").alias(side), *(F.col(c).alias(side + c) for c in _SIGNATURE)) for side in "ab")
     distance = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _SIGNATURE), F.lit(0))

@@ -72,3 +72,23 @@ def test_odd_rows(spark, odd_docs, make_docs):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 8, 9]
     none = make_docs([])
     assert S.simhash_groups(none).count() == 0 and S.drop_near_duplicates(none).count() == 0
+
+
+def test_pairs_at_the_greatest_distance_meet(spark):
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 256, (400, 32)).astype(np.uint8)
+    flips = np.stack([np.packbits(np.isin(np.arange(256), rng.permutation(256)[: S.MAX_DISTANCE])) for _ in range(400)])
+    prints = np.concatenate([one, one ^ flips]).view(np.int64)
+    table = spark.createDataFrame([(k, *map(int, p)) for k, p in enumerate(prints)], "id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    edges = {(r.a, r.b) for r in S.near_duplicate_edges(table).collect()}
+    assert edges <= {(k, 400 + k) for k in range(400)} and len(edges) >= 0.85 * 400
+
+
+def test_many_buckets_give_the_same_edges(spark, prose, monkeypatch):
+    texts = [prose(k, 120) for k in range(40)]
+    prints = prints_of(texts + [changed(t, 0.03, k) for k, t in enumerate(texts)]).view(np.int64)
+    table = spark.createDataFrame([(k, *map(int, p)) for k, p in enumerate(prints)], "id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    once = {(r.a, r.b) for r in S.near_duplicate_edges(table).collect()}
+    monkeypatch.setattr(S, "ENTRIES_A_BUCKET", 30)
+    monkeypatch.setattr(S, "tables", lambda _, n=S.tables(): n // 8)
+    assert {(r.a, r.b) for r in S.near_duplicate_edges(table).collect()} <= once and len(once) >= 30
