@@ -1,9 +1,10 @@
 """Licence scans: matching statistics against a generalised suffix automaton of licence texts.
 
 The automaton holds every stretch of words of every template. A text is streamed through it: at each word
-the longest stretch that ends there and occurs in a template is known. Stretches of at least MIN_MATCH
-words that can't be made longer are chained, template by template, in the order of both the text and
-the template; a chain that covers enough of the template is a finding.
+the longest stretch that ends there and occurs in a template is known, and its suffix links lead to the
+shorter ones that other places of the templates end with. At each place of each template, stretches of
+at least MIN_MATCH words that can't be made longer there are chained, template by template, in the order
+of both the text and the template; a chain that covers enough of the template is a finding.
 
 A stretch of MIN_MATCH words needs that many words in a row of which every neighbouring two occur side by
 side in a template; elsewhere the automaton's match is shorter and can't matter. Those stretches are
@@ -118,12 +119,35 @@ class Scanner:
         self.sizes = [len(s) for s in sequences]
         self.needs = [min(min_match, n) for n in self.sizes]
         self.automaton = Automaton(sequences)
+        self.sequences = sequences
         self.least, self.min_coverage, self.max_gap = min([n for n in self.needs if n], default=1), min_coverage, max_gap
+        self.shorter = [self._shorter(s) for s in range(len(self.automaton.next))]
         pairs = [coded[a : b - 1] * len(self.vocabulary) + coded[a + 1 : b] for a, b in zip(found.doc_bounds[:-1], found.doc_bounds[1:]) if b - a > 1]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.vocabulary & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
+    def _shorter(self, state: int) -> list[tuple[int, int, int]]:
+        """(template, position, length) of the longest match at each place that a state's stretches don't end at but a suffix of them does."""
+        known, out, state = set(self.automaton.ends[state]), [], self.automaton.link[state]
+        while state > 0 and self.automaton.length[state] >= self.least:
+            fresh = [e for e in self.automaton.ends[state] if e not in known]
+            out += [(*e, self.automaton.length[state]) for e in fresh]
+            known.update(fresh)
+            state = self.automaton.link[state]
+        return out
+
+    def matches(self, code: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """(template, first word, first word of the template, length) of all matches that count and can't be made longer."""
+        for k, (state, length) in enumerate(self.automaton.statistics(code)):
+            if length < self.least:
+                continue
+            onward = code[k + 1] if k + 1 < len(code) else -1
+            for which, position, n in [*((*e, length) for e in self.automaton.ends[state]), *self.shorter[state]]:
+                sequence = self.sequences[which]
+                if n >= self.needs[which] and (position + 1 == len(sequence) or sequence[position + 1] != onward):
+                    yield which, k - n + 1, position - n + 1, n
+
     def stretches(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(first word, template words by number) of all stretches that could hold a match that counts."""
         known = np.zeros(len(hashes) + 1, bool)
@@ -155,13 +179,8 @@ class Scanner:
         blocks_of: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for first, code in self.stretches(hashes, bounds):
             doc = int(np.searchsorted(bounds, first, side="right")) - 1
-            seen = self.automaton.statistics(code.tolist())
-            for k, (state, length) in enumerate(seen):
-                if length < self.least or k + 1 < len(seen) and seen[k + 1][1] > length:
-                    continue
-                for which, position in self.automaton.ends[state]:
-                    if length >= self.needs[which]:
-                        blocks_of.setdefault((doc, which), []).append((first + k - length + 1 - int(bounds[doc]), position - length + 1, length))
+            for which, start, at, length in self.matches(code.tolist()):
+                blocks_of.setdefault((doc, which), []).append((first + start - int(bounds[doc]), at, length))
         for (doc, which), found in sorted(blocks_of.items()):
             for start, end, covered in self.chains(found):
                 if covered >= self.min_coverage * self.sizes[which]:

@@ -71,3 +71,28 @@ def test_odd_rows(spark, odd_docs, make_docs):
     assert L.scan_licenses(make_docs([])).count() == 0
     both = make_docs([(None, "Released under the MIT License"), (4, "released under the mit license"), (4, "released under the mit license")])
     assert sorted((r.doc_id or 0) for r in L.scan_licenses(both).collect()) == [0, 4, 4]
+
+
+def test_matches_against_brute_force_by_template():
+    rng = random.Random(9)
+    for _ in range(60):
+        templates = {f"t{k}": " ".join(f"w{rng.randrange(3)}" for _ in range(rng.randrange(1, 14))) for k in range(3)}
+        scanner = L.Scanner(templates, min_match=3)
+        text = [rng.randrange(len(scanner.vocabulary)) for _ in range(30)]
+        expected = set()
+        for which, t in enumerate(scanner.sequences):
+            for i in range(len(text)):
+                for p in range(len(t)):
+                    n = 0
+                    while i + n < len(text) and p + n < len(t) and text[i + n] == t[p + n]:
+                        n += 1
+                    if n >= scanner.needs[which] and not (i and p and text[i - 1] == t[p - 1]):
+                        expected.add((which, i, p, n))
+        got = list(scanner.matches(text))
+        assert set(got) == expected and len(got) == len(expected)
+
+
+def test_a_notice_is_found_inside_what_a_longer_template_matches(spark, make_docs):
+    texts = ["Licensed under the Apache License, Version 2.0. The rest is ours.", 'Licensed under the Apache License, Version 2.0 (the "License").']
+    rows = L.scan_licenses(make_docs(list(enumerate(texts)))).collect()
+    assert sorted((r.doc_id, r.license, r.start_word, r.n_covered) for r in rows) == [(0, "Apache-2.0-notice", 0, 8), (1, "Apache-2.0-notice", 0, 8)]
