@@ -10,7 +10,9 @@ that share a hash with an item are verified by exact edit distance over the word
 Items are grouped by length, from 2^k to 2^(k+1) - 1 words: the walk of a group takes 2^k steps, so it
 never leaves a window of the item's size. The number of repetitions of a group follows from its own
 items: edited copies at the highest distance allowed are drawn from a fixed seed, and repetitions are
-added until the share of them that is hit reaches the target recall.
+added until the share of them that is hit reaches the target recall at every length of item. Lengths that
+don't reach it in MAX_REPETITIONS are also searched exactly: an item with at most e edits, cut into e + 1
+pieces, has one of them unchanged, so that every place of every piece is a candidate.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ TARGET_RECALL = 0.95
 #: Outputs in one hash, at most; short walks have fewer.
 SAMPLES = 3
 MAX_REPETITIONS = 64
+#: Edited copies drawn for a group of lengths, and for each length in it, at least.
+TRIES, TRIES_A_LENGTH = 2000, 100
 #: Items that one pass over the documents is held against; more items take more passes.
 ITEMS_A_PASS = 20_000
 _U = np.uint64
@@ -76,6 +80,12 @@ def _key(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _stretches(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on where there are so many."""
+    size = max(0, len(hashes) - n + 1)
+    return _key([hashes[k : k + size] for k in range(n)])
+
+
 def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
     words_ = item.tolist()
     for _ in range(edits):
@@ -99,10 +109,13 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]], max_edits: float = MAX_EDITS, target: float = TARGET_RECALL):
         self.max_edits = max_edits
         self.groups: list[tuple[list[tuple[int, np.ndarray]], list[Repetition]]] = []
+        self.pieces: list[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = []  # for each group, by length: sorted hashes, places of items, first words
         sizes = np.array([len(w) for _, w in items], np.int64)
         for k in sorted({int(n).bit_length() - 1 for n in sizes}):
             own = [x for x in items if len(x[1]).bit_length() - 1 == k]
-            self.groups.append((own, self._repetitions(own, 1 << k, target)))
+            reps, short = self._repetitions(own, 1 << k, target)
+            self.groups.append((own, reps))
+            self.pieces.append(self._pieces([k for k, (_, w) in enumerate(own) if len(w) in short], own))
         entries = [mix(w ^ _U(k)) for own, _ in self.groups for k, (_, w) in enumerate(own)]
         self.belongs = np.zeros(1 << max(16, (16 * sum(map(len, entries))).bit_length()), bool)
         for e in entries:
@@ -116,13 +129,17 @@ class Index:
         hit = self.belongs[(mix(word ^ who[row].astype(np.uint64)) & _U(len(self.belongs) - 1)).astype(np.int64)]
         return np.flatnonzero(np.bincount(row[hit], minlength=len(who)) >= n - spare)
 
-    def _repetitions(self, items: list[tuple[int, np.ndarray]], steps: int, target: float) -> list[Repetition]:
+    def _repetitions(self, items: list[tuple[int, np.ndarray]], steps: int, target: float) -> tuple[list[Repetition], set[int]]:
+        """The repetitions, and the lengths of items for which they don't reach the target."""
         rng = np.random.default_rng(1009 + steps)
-        tries = [(k, _edited(w, int(allowed(len(w), self.max_edits)), rng)) for _ in range(max(1, 2000 // len(items))) for k, (_, w) in enumerate(items[:2000])]
+        count = np.bincount([len(w) for _, w in items])
+        tries = [(k, _edited(w, int(allowed(len(w), self.max_edits)), rng)) for k, (_, w) in enumerate(items) for _ in range(max(1, TRIES // len(items), -(-TRIES_A_LENGTH // int(count[len(w)]))))]
         missed, reps = np.ones(len(tries), bool), []
+        lengths, of = np.unique([len(items[k][1]) for k, _ in tries], return_inverse=True)
+        short = lambda: np.bincount(of, missed) > (1 - target) * np.bincount(of)
         bitmap = max(1 << 16, 1 << (8 * len(items)).bit_length())
-        while missed.mean() > 1 - target and len(reps) < MAX_REPETITIONS:
-            early = int(rng.integers(max(1, steps // 4)))  # an early output is among them: most starts are ruled out by it
+        while short().any() and len(reps) < MAX_REPETITIONS:
+            early = int(rng.integers(steps // 4 if steps > 4 else steps))  # an early output is among them: most starts are ruled out by it
             chosen = sorted([early, *rng.choice(np.delete(np.arange(steps), early), min(SAMPLES, steps) - 1, replace=False).tolist()])
             rep = Repetition(101 + len(reps), chosen)
             outputs = [_samples(w, rep) for _, w in items]
@@ -137,11 +154,33 @@ class Index:
                 k, edited = tries[t]
                 missed[t] = len(edited) == 0 or _key(_samples(edited, rep))[0] != keys[k]
             reps.append(rep)
-        return reps
-
-    def candidates(self, hashes: np.ndarray) -> Iterator[tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]]:
-        """For each group its items, and (place of an item, window start) wherever a hash is shared."""
-        found: list[list[np.ndarray]] = [[] for _ in self.groups]
+        return reps, set(lengths[short()].tolist())
+
+    def _pieces(self, which: list[int], items: list[tuple[int, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k in which:
+            own = items[k][1]
+            cuts = np.linspace(0, len(own), int(allowed(len(own), self.max_edits)) + 2).astype(np.int64).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b > a:
+                    found.setdefault(b - a, []).append((int(_stretches(own[a:b], b - a)[0]), k, a))
+        return {n: (np.array([x[0] for x in rows], np.uint64), *(np.array([x[c] for x in rows], np.int64) for c in (1, 2))) for n, rows in ((n, sorted(rows)) for n, rows in found.items())}
+
+    def _exact(self, g: int, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """Starts of windows that hold a piece of an item of group g at its place, as item << 40 | start."""
+        for n, (keys, which, first) in self.pieces[g].items():
+            own = _stretches(hashes, n)
+            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            at = np.flatnonzero(high > low)
+            times = (high - low)[at]
+            row = np.repeat(low[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            at = np.repeat(at, times)
+            start = np.maximum(at - first[row], bounds[np.searchsorted(bounds, at, side="right") - 1])
+            yield (which[row] << 40) | start
+
+    def candidates(self, hashes: np.ndarray, bounds: np.ndarray | None = None) -> Iterator[tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]]:
+        """For each group its items, and (place of an item, window start) wherever a hash is shared; bounds: of the texts in hashes."""
+        found: list[list[np.ndarray]] = [list(self._exact(g, hashes, np.array([0, len(hashes)]) if bounds is None else bounds)) for g in range(len(self.groups))]
         rounds = max((len(reps) for _, reps in self.groups), default=0)
         firsts = [reps[r].steps[0] for _, reps in self.groups for r in range(len(reps))]
         padded = np.concatenate([hashes, np.zeros(max([0, *firsts]) + 1, np.uint64)])
@@ -231,7 +270,7 @@ def _scan(index: Index):
             found = words(raw, offsets, first, last)
             if not len(found.hashes):
                 continue
-            for items, who, where in index.candidates(found.hashes):
+            for items, who, where in index.candidates(found.hashes, found.doc_bounds):
                 doc = np.searchsorted(found.doc_bounds, where, side="right") - 1
                 n = np.array([len(w) for _, w in items])[who]
                 spare = allowed(n, index.max_edits)

@@ -90,3 +90,34 @@ def test_odd_rows(spark, odd_docs, make_docs, prose):
     none = spark.createDataFrame([], ITEMS)
     assert D.find_leaks(odd_docs, none).count() == 0 and D.drop_leaks(odd_docs, none).count() == odd_docs.count()
     assert D.find_leaks(make_docs([]), items).count() == 0
+
+
+def seven_words(count):
+    """Items of seven words, and of each a copy with its first word replaced, between other words."""
+    rng = np.random.default_rng(2)
+    items = [(k, rng.integers(1, 2**63, 7).astype(np.uint64)) for k in range(count)]
+    noise = lambda: rng.integers(1, 2**63, 6).astype(np.uint64)
+    return items, [np.concatenate([noise(), w[1:], noise()]) for _, w in items]
+
+
+def hits(index, texts):
+    return [any(k in who.tolist() for _, who, _ in index.candidates(t)) for k, t in enumerate(texts)]
+
+
+def test_short_items_without_their_first_word_are_found():
+    items, texts = seven_words(60)
+    unedited = [(1000 + k, np.arange(100 * k + 1, 100 * k + 6, dtype=np.uint64)) for k in range(540)]
+    found = hits(D.Index(items + unedited), texts)
+    assert np.mean(found) >= 0.8
+
+
+def test_lengths_below_target_are_searched_exactly(monkeypatch):
+    monkeypatch.setattr(D, "MAX_REPETITIONS", 1)
+    items, texts = seven_words(60)
+    assert all(hits(D.Index(items), texts))
+    rng = random.Random(4)
+    items = [(k, np.array([rng.randrange(1, 10**9) for _ in range(rng.randrange(8, 60))], np.uint64)) for k in range(60)]
+    edited = [D._edited(w, int(D.allowed(len(w), D.MAX_EDITS)), np.random.default_rng(k)) for k, (_, w) in enumerate(items)]
+    index = D.Index(items)
+    places = [{(own[x][0]) for own, who, _ in index.candidates(t) for x in who} for t in edited]
+    assert all(k in p for k, p in enumerate(places))
