@@ -8,21 +8,29 @@
    are spread over the contexts by chance. A token that equals the one before it counts as REPEATED.
 3. A two-layer numpy network is fitted on at most train_rows labelled documents, with one output for
    low quality and one for toxicity; a temperature for each is fitted on a held-out part.
+
+The word table never passes through the driver: its slabs are summed into a table in the shared folder,
+workers read it there, one task fits the network, and what scores documents is the table multiplied by
+the first layer, again in the shared folder. The driver sees the network's few numbers alone.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm import shared
 from ledgerline.llm.words import IS_SPACE, IS_WORD, blocks, mix, runs, span_hashes, text_buffer
+from ledgerline.storage import drop_path, scratch_path
 
 BUCKETS = 1 << 16
 DIMENSIONS = 256
@@ -89,49 +97,80 @@ _PARTIAL_DDL = "slab int, task int, sums binary"
 _PARTIAL = pa.schema([("slab", pa.int32()), ("task", pa.int32()), ("sums", pa.binary())])
 
 
-def _add(kind: type):
-    """Adds the sums of a group up, and gives them as numbers of that kind."""
+def _total(group: pa.Table) -> np.ndarray:
+    total = np.zeros(BUCKETS // _SLABS * (DIMENSIONS + 1), np.int64)
+    for x in group.column("sums"):
+        raw = x.as_buffer()
+        total += np.frombuffer(raw, np.int32 if raw.size == total.size * 4 else np.int64)
+    return total
+
+
+def _add(group: pa.Table) -> pa.Table:
+    return pa.Table.from_pylist([{"slab": group.column("slab")[0].as_py(), "task": group.column("task")[0].as_py(), "sums": _total(group).tobytes()}], _PARTIAL)
 
-    def run(group: pa.Table) -> pa.Table:
-        total = np.zeros(BUCKETS // _SLABS * (DIMENSIONS + 1), np.int64)
-        for x in group.column("sums"):
-            raw = x.as_buffer()
-            total += np.frombuffer(raw, np.int32 if raw.size == total.size * 4 else np.int64)
-        return pa.Table.from_pylist([{"slab": group.column("slab")[0].as_py(), "task": group.column("task")[0].as_py(), "sums": total.astype(kind).tobytes()}], _PARTIAL)
 
-    return run
+_SLAB_DDL = "slab int, sums binary, totals binary"
+_SLAB = pa.schema([("slab", pa.int32()), ("sums", pa.binary()), ("totals", pa.binary())])
 
 
-def word_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(BUCKETS x DIMENSIONS unit vectors, each bucket's weight in a document), from every document.
+def _finish(group: pa.Table) -> pa.Table:
+    """A slab's sums in single precision, and its column totals in full."""
+    total = _total(group).reshape(-1, DIMENSIONS + 1)
+    return pa.Table.from_pylist([{"slab": group.column("slab")[0].as_py(), "sums": total.astype(np.float32).tobytes(), "totals": total.sum(axis=0).tobytes()}], _SLAB)
+
+
+@dataclass
+class WordTable:
+    """Where the summed slabs lie, the corpus mean of the sums, and the number of tokens."""
+
+    path: str
+    mean: np.ndarray
+    tokens: float
+
+    def slabs(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(buckets, their unit vectors, their weights in a document) slab by slab, read from the shared folder.
+
+        A weight has two factors: one falls with the frequency; the other is near 0 where the vector is no
+        longer than that of tokens spread over the contexts by chance, and so tells nothing. Vectors are
+        centred in double precision before they are rounded to single.
+        """
+        for batch in shared.batches(self.path, ["slab", "sums"]):
+            for k, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums = np.frombuffer(sums.as_buffer(), np.float32).reshape(-1, DIMENSIONS + 1)
+                count = sums[:, -1].astype(np.float64)
+                x = sums[:, :-1] / np.maximum(count, 1)[:, None] - self.mean
+                x[count == 0] = 0
+                length = np.linalg.norm(x, axis=1)
+                excess = np.maximum(0, length**2 * count / NONZEROS - 1)
+                weight = excess / (1 + excess) * FREQUENCY_WEIGHT / (FREQUENCY_WEIGHT + count / self.tokens)
+                yield _slab(k), (x / np.where(length > 0, length, 1)[:, None]).astype(np.float32), weight.astype(np.float32)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        vectors, weight = np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros(BUCKETS, np.float32)
+        for own, v, w in self.slabs():
+            vectors[own], weight[own] = v, w
+        return vectors, weight
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> WordTable:
+    """A vector and a weight for each bucket, from every document.
 
     Tasks take about 16 input splits each and add up in two steps, so that what moves is a small part of
-    the input and no group holds more than the square root of the tasks. The weight has two factors: one
-    falls with the frequency; the other is near 0 where the vector is no longer than that of tokens
-    spread over the contexts by chance, and so tells nothing.
+    the input and no group holds more than the square root of the tasks.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(texts.rdd.getNumPartitions() / 16))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(texts.rdd.getNumPartitions() / 16))
     parts = texts.coalesce(tasks).mapInArrow(_tables, _PARTIAL_DDL)
     step = math.isqrt(tasks)
     if step > 8:
-        parts = parts.withColumn("task", F.col("task") % step).groupBy("slab", "task").applyInArrow(_add(np.int64), _PARTIAL_DDL)
-    # half precision is enough for unit vectors, and the driver holds no table but this one
-    vectors, count, column = np.zeros((BUCKETS, DIMENSIONS), np.float16), np.zeros(BUCKETS), np.zeros(DIMENSIONS)
-    for row in parts.groupBy("slab").applyInArrow(_add(np.float32), _PARTIAL_DDL).select("slab", "sums").toLocalIterator():
-        own = _slab(row["slab"])
-        sums = np.frombuffer(row["sums"], np.float32).reshape(-1, DIMENSIONS + 1)
-        vectors[own], count[own] = sums[:, :-1] / np.maximum(sums[:, -1:], 1), sums[:, -1]
-        column += sums[:, :-1].sum(axis=0, dtype=np.float64)
-    total, excess = max(1.0, count.sum()), np.zeros(BUCKETS)
-    for k in range(_SLABS):
-        own = _slab(k)
-        x = vectors[own].astype(np.float32) - (column / total).astype(np.float32)
-        x[count[own] == 0] = 0
-        length = np.linalg.norm(x, axis=1)
-        vectors[own] = x / np.where(length > 0, length, 1)[:, None]
-        excess[own] = np.maximum(0, length.astype(np.float64) ** 2 * count[own] / NONZEROS - 1)
-    return vectors, (excess / (1 + excess) * FREQUENCY_WEIGHT / (FREQUENCY_WEIGHT + count / total)).astype(np.float32)
+        parts = parts.withColumn("task", F.col("task") % step).groupBy("slab", "task").applyInArrow(_add, _PARTIAL_DDL)
+    path = scratch_path(spark, "words")
+    parts.groupBy("slab").applyInArrow(_finish, _SLAB_DDL).write.parquet(path)
+    totals = np.zeros(DIMENSIONS + 1)
+    for row in spark.read.parquet(path).select("totals").collect():  # a row of 2 kB for each of the slabs
+        totals += np.frombuffer(row["totals"], np.int64)
+    return WordTable(path, totals[:-1] / max(1.0, totals[-1]), max(1.0, totals[-1]))
 
 
 def _slab(k: int) -> slice:
@@ -230,49 +269,85 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 60, se
     return net
 
 
+@lru_cache(maxsize=1)
+def _projected(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """A model's projected word table and weights, read once in each Python worker."""
+    rows, weight = np.zeros((BUCKETS, HIDDEN), np.float32), np.zeros(BUCKETS, np.float32)
+    for batch in shared.batches(path, ["slab", "projected", "weight"]):
+        for k, p, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            rows[_slab(k)], weight[_slab(k)] = np.frombuffer(p.as_buffer(), np.float32).reshape(-1, HIDDEN), np.frombuffer(w.as_buffer(), np.float32)
+    return rows, weight
+
+
 @dataclass
 class Model:
-    """The word table already multiplied by the first layer: a mean of vectors times w1 is a mean of these rows."""
+    """The network, and where the word table lies that its first layer has already been applied to: a mean of
+    vectors times w1 is a mean of these rows."""
 
-    projected: np.ndarray
-    weight: np.ndarray
+    path: str
     net: Network
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        pooled, n = pool(column, self.projected, self.weight)
+        pooled, n = pool(column, *_projected(self.path))
         return _sigmoid((np.tanh(pooled + self.net.b1) @ self.net.w2 + self.net.b2) / self.net.temperature), n
 
 
+def _fit_rows(rows: pa.Table) -> Network:
+    rows = rows.sort_by([("id", "ascending"), ("quality", "ascending"), ("toxic", "ascending")])
+    column = rows.column("x").combine_chunks()
+    x = np.frombuffer(b"".join(v.as_buffer() for v in column), np.float32).reshape(-1, DIMENSIONS)
+    y = np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("quality", "toxic")], axis=1)
+    return fit(x, np.stack([1 - y[:, 0], y[:, 1]], axis=1))
+
+
+def _fit_group(rows: pa.Table) -> pa.Table:
+    """The network's numbers as one row; it is fitted in one task, on at most train_rows documents."""
+    return pa.Table.from_pylist([{"net": pickle.dumps(_fit_rows(rows))}], pa.schema([("net", pa.binary())]))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """Word vectors from all of docs, the network from at most train_rows of the labelled ones."""
+    """Word vectors from all of docs, the network from at most train_rows of the labelled ones.
+
+    What the model needs to score (about 9 MB, whatever the corpus) stays in the shared folder, for the
+    rows that it scores may be computed, or computed again, at any later time.
+    """
     spark = docs.sparkSession
-    vectors, weight = word_vectors(docs, text_col)
-    shared = spark.sparkContext.broadcast((vectors, weight))
+    table = word_vectors(docs, text_col)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, w = shared.value
+        vectors = None
         for batch in batches:
-            x, _ = pool(batch.column(3), table, w)
+            if not batch.num_rows:
+                continue
+            if vectors is None:
+                vectors, weight = table.whole()
+            x, _ = pool(batch.column(3), vectors, weight)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "quality", "toxic", "x"])
 
     chosen = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("quality").cast("double"), F.col("toxic").cast("double")).where("id IS NOT NULL").dropDuplicates().orderBy(F.xxhash64("id"), "id", "quality", "toxic").limit(train_rows)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "quality", "toxic", "text").mapInArrow(features, "id bigint, quality double, toxic double, x binary").toPandas()
-    shared.destroy()
-    rows = rows.sort_values(["id", "quality", "toxic"], kind="stable")
-    rows = rows.loc[np.array([len(x) > 0 for x in rows["x"]], bool)]
-    x = np.frombuffer(b"".join(rows.pop("x")), np.float32).reshape(-1, DIMENSIONS)
-    net = fit(x, np.stack([1 - rows["quality"].to_numpy(float), rows["toxic"].to_numpy(float)], axis=1))
-    projected = np.concatenate([vectors[_slab(k)].astype(np.float32) @ net.w1 for k in range(_SLABS)])
-    return Model(projected.astype(np.float32), weight, net)
+    # chosen has at most train_rows rows of 24 bytes
+    labelled = texts.join(F.broadcast(chosen), "id").select("id", "quality", "toxic", "text").repartition(spark.sparkContext.defaultParallelism)
+    rows = labelled.mapInArrow(features, "id bigint, quality double, toxic double, x binary")
+    fitted = rows.groupBy(F.lit(0).alias("all")).applyInArrow(_fit_group, "net binary").collect()
+    net = pickle.loads(fitted[0]["net"]) if fitted else fit(np.zeros((0, DIMENSIONS)), np.zeros((0, 2)))
+    path = scratch_path(spark, "classifier")
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in batch.column(0).to_pylist():
+                for own, v, w in table.slabs():
+                    yield pa.RecordBatch.from_pylist([{"slab": own.start * _SLABS // BUCKETS, "projected": (v @ net.w1.astype(np.float32)).tobytes(), "weight": w.tobytes()}], pa.schema([("slab", pa.int32()), ("projected", pa.binary()), ("weight", pa.binary())]))
 
+    spark.range(1, numPartitions=1).mapInArrow(project, "slab int, projected binary, weight binary").write.parquet(path)
+    drop_path(spark, table.path)
+    return Model(path, net)
 
-def _scorer(spark: SparkSession, model: Model):
-    shared = spark.sparkContext.broadcast(model)
 
+def _scorer(model: Model):
     @F.pandas_udf("struct<low double, toxic double, tokens bigint>")
     def score(text: pd.Series) -> pd.DataFrame:
-        p, n = shared.value.score(pa.array(text, pa.string(), from_pandas=True))
+        p, n = model.score(pa.array(text, pa.string(), from_pandas=True))
         return pd.DataFrame({"low": p[:, 0], "toxic": p[:, 1], "tokens": n})
 
     return score
@@ -288,7 +363,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     are ignored, whatever their names. Very long texts are read whole.
     """
     model = train(docs, labels, id_col, text_col, train_rows)
-    scored = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _scorer(docs.sparkSession, model)(F.col(text_col).cast("string")).alias("s"))
+    scored = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _scorer(model)(F.col(text_col).cast("string")).alias("s"))
     some = F.col("s.tokens") > 0
     return scored.select("doc_id", F.when(some, 1 - F.col("s.low")).alias("p_quality"), F.when(some, F.col("s.toxic")).alias("p_toxic"), (some & (F.col("s.low") < reject_at) & (F.col("s.toxic") < reject_at)).alias("keep"))
 
@@ -296,5 +371,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, reject_at: float = REJECT_AT) -> DataFrame:
     """The rows of docs that classify keeps, with all their columns."""
     model = train(docs, labels, id_col, text_col, train_rows)
-    s = _scorer(docs.sparkSession, model)(F.col(text_col).cast("string"))
+    s = _scorer(model)(F.col(text_col).cast("string"))
     return docs.withColumn("__score", s).where(f"__score.tokens > 0 AND __score.low < {reject_at} AND __score.toxic < {reject_at}").drop("__score")

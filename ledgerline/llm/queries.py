@@ -53,15 +53,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_best_fit_packing, op2_token_counts, op3_quality_classifier, op4_decontamination, op5_license_scan, op6_chat_format, op7_simhash, op8_embedding_dedup, op9_warc, op10_sharding)
-    return {f.__name__: f for f in (pipeline, *ops)}
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
