@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,17 +12,21 @@ DIR_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.
+    """The folder the cluster names in spark.checkpoint.dir, as a URI with its scheme.
 
-    Only where that is unset, as in tests, a temporary folder of this session is taken.
+    Only where that is unset and the master is local, as in tests, a temporary folder of this session is
+    taken; executors on other machines wouldn't share it, so on a cluster an unset folder is an error.
     """
     named = spark.conf.get(DIR_SETTING, None)
     if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{DIR_SETTING} has to name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set(DIR_SETTING, named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
-    return named
+    where = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def cut(df: DataFrame) -> DataFrame:
