@@ -52,17 +52,26 @@ def _pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int, most: int) ->
     return float(best[most, capacity]), out
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns as columns, how often each is used): the least sequences in all, fractions allowed."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns as columns, how often each is used): the least sequences in all, fractions allowed.
+
+    Columns are added until none could lower the number of sequences. The demand is perturbed while they
+    are chosen, so that every exchange lowers it and none is made twice: the loop ends by itself, with
+    the optimal basis.
+    """
     k = len(sizes)
     basis = np.diag(np.maximum(1, capacity // sizes)).astype(float)
     most = max(1, int(capacity // sizes.min()))
-    for _ in range(rounds):
+    wanted = demand + 1e-6 * (1 + np.arange(k) / k + np.random.default_rng(5).random(k)) * max(1.0, float(demand.max()))
+    before = np.inf
+    while True:
         prices = np.linalg.solve(basis.T, np.ones(k))
         value, column = _pattern(prices, sizes, capacity, most)
-        if value <= 1 + 1e-7:
+        used = np.linalg.solve(basis, wanted)
+        total = used.sum()
+        if value <= 1 + 1e-7 or total >= before:  # nothing to gain, or less than a double can tell
             break
-        used = np.linalg.solve(basis, demand.astype(float))
+        before = total
         step = np.linalg.solve(basis, column.astype(float))
         ratio = np.where(step > 1e-9, used / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(np.argmin(ratio))] = column
@@ -184,7 +193,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored, whatever their names.
     """
     n = token_count(tokenizer_path)(F.col(text_col).cast("string")) if length is None else length
-    counted = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.greatest(F.coalesce(n.cast("bigint"), F.lit(0)), F.lit(0)).alias("n")))
+    counted = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.greatest(F.coalesce(n.cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
+    # rows with a null id are spread by a number of their own, which the table in the shared folder fixes
+    counted = cut(counted.withColumn("spread", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))
     pieces = counted.agg(F.sum(F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)))).first()[0] or 0
     shards = max(1, math.ceil(pieces / SHARD_PIECES))
-    return counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_shard(capacity), _SCHEMA)
+    return counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "spread"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_shard(capacity), _SCHEMA)

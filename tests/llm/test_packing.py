@@ -57,3 +57,64 @@ def test_odd_rows(spark, odd_docs, make_docs):
     assert got.groupby("sequence_id").n_tokens.sum().max() <= P.CAPACITY
     assert P.pack_documents(make_docs([])).count() == 0
     assert P.pack_documents(odd_docs, length=F.lit(None).cast("bigint")).where("sequence_id IS NOT NULL").count() == 0
+
+
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying every way to put the pieces in, longest first."""
+    order, best = sorted(sizes, reverse=True), len(sizes)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(order):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= order[k]:
+                i = rooms.index(room)
+                place(k + 1, rooms[:i] + [room - order[k]] + rooms[i + 1 :])
+        place(k + 1, [*rooms, capacity - order[k]])
+
+    place(0, [])
+    return best
+
+
+def first_fit_decreasing(sizes, capacity):
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        k = next((k for k, r in enumerate(rooms) if r >= s), None)
+        if k is None:
+            rooms.append(capacity - s)
+        else:
+            rooms[k] -= s
+    return len(rooms)
+
+
+def test_small_cases_against_every_packing():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        sizes = rng.integers(1, 33, rng.integers(1, 10))
+        assert P.pack(sizes, 32).max() + 1 <= fewest(sizes.tolist(), 32) + 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_large_cases_against_a_plain_packer(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(40, 700, 3000) if seed % 2 else np.clip(rng.lognormal(5.5, 1, 3000).astype(int), 1, 1000)
+    assert P.pack(sizes, 1000).max() + 1 <= 1.05 * first_fit_decreasing(sizes.tolist(), 1000) + P.GROUPS
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(5, 64), min_size=1, max_size=12, unique=True), st.data())
+def test_configurations_end_and_meet_the_demand(sizes, data):
+    demand = np.array([data.draw(st.integers(1, 500)) for _ in sizes])
+    patterns, used = P.configurations(np.array(sizes), demand, 64)
+    assert (np.array(sizes) @ patterns <= 64).all() and (patterns @ used >= demand - 1e-6 * demand.max()).all()
+    assert used.sum() >= np.array(sizes) @ demand / 64 - 1e-6
+
+
+def test_rows_without_an_id_are_spread(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(P, "SHARD_PIECES", 50)
+    got = P.pack_documents(make_docs([(None, "x") for _ in range(400)]), capacity=100, length=F.lit(7)).toPandas()
+    assert len(got) == 400 and (got.sequence_id // 2**32).nunique() >= 6
