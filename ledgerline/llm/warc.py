@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ledgerline.storage import cut, scratch_path
 
 PIECE = 1 << 20
+#: A block is one value of a row, and Spark holds no longer one.
+MOST_BYTES = 2**31 - 1 - 64
 _DATE = "2024-01-01T00:00:00Z"
 _VERSION = b"WARC/1.1"
 _CONTROL = re.compile(r"[\x00-\x20\x7f%]")
@@ -153,9 +155,11 @@ def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             for line in lines[1:]:
                 name, _, value = line.partition(b":")
                 headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-            if not headers.get("content-length", "").isdigit():
+            if not re.fullmatch(r"[0-9]{1,19}", headers.get("content-length", "")):
                 raise Corrupt("no content length")
             size = int(headers["content-length"])
+            if size > MOST_BYTES:
+                raise Corrupt("the content length is more than a row can hold")
             del buffer[: end + 4]
             if not need(size + 4):
                 raise Corrupt("the block is shorter than its content length")
@@ -169,7 +173,7 @@ def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 def _row(file: str, n: int, headers: dict[str, str], block: bytes) -> dict:
     given, page = headers.get("warc-block-digest"), headers.get("x-page-id", "")
     text = None if headers.get("x-null-block") == "true" else block.decode("utf-8", "replace")
-    return {"file": file, "record_no": n, "type": headers.get("warc-type"), "record_id": headers.get("warc-record-id"), "uri": _plain(headers["warc-target-uri"]) if "warc-target-uri" in headers else None, "page_id": int(page) if re.fullmatch(r"-?\d+", page) else None, "block": text, "block_is_null": text is None, "content_length": len(block), "digest_ok": None if given is None else given == digest(block), "error": None}
+    return {"file": file, "record_no": n, "type": headers.get("warc-type"), "record_id": headers.get("warc-record-id"), "uri": _plain(headers["warc-target-uri"]) if "warc-target-uri" in headers else None, "page_id": int(page) if re.fullmatch(r"-?[0-9]{1,19}", page) and -(2**63) <= int(page) < 2**63 else None, "block": text, "block_is_null": text is None, "content_length": len(block), "digest_ok": None if given is None else given == digest(block), "error": None}
 
 
 def read_warc(files: DataFrame, file_col: str = "file") -> DataFrame:
@@ -178,7 +182,8 @@ def read_warc(files: DataFrame, file_col: str = "file") -> DataFrame:
     digest_ok is null for a record without a digest, false for one whose block has another. A file that
     is damaged or cut off gives its records up to there and one more row with the error alone; a file of
     no bytes gives no rows; null names are left out, and a name given twice is read twice. A file that
-    can't be opened fails the job. Blocks are decoded as UTF-8, bytes that aren't replaced.
+    can't be opened fails the job. Blocks are decoded as UTF-8, bytes that aren't replaced. A length that
+    isn't a number, or is over 2 GiB, counts as damage; a page id that isn't a bigint is null.
     """
     n = max(1, files.count())
     named = files.select(F.col(file_col).alias("file")).where("file IS NOT NULL").repartition(n)
@@ -190,14 +195,15 @@ def read_warc(files: DataFrame, file_col: str = "file") -> DataFrame:
                 rows, size, number = [], 0, 0
                 with system.open_input_stream(at, compression=None, buffer_size=0) as stream:
                     try:
-                        for number, (headers, block) in enumerate(records(stream)):
+                        for headers, block in records(stream):
                             rows.append(_row(file, number, headers, block))
+                            number += 1
                             size += len(block)
                             if size > 1 << 23 or len(rows) >= 10_000:
                                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
                                 rows, size = [], 0
                     except Corrupt as e:
-                        rows.append({"file": file, "record_no": number + bool(rows or size), "error": str(e)})
+                        rows.append({"file": file, "record_no": number, "error": str(e)})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 

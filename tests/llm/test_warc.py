@@ -57,3 +57,21 @@ def test_wrong_digests_are_told(spark):
     assert warc._row("f", 0, headers, block)["digest_ok"] is False
     del headers["warc-block-digest"]
     assert warc._row("f", 0, headers, block)["digest_ok"] is None
+
+
+@pytest.mark.parametrize("length", ["\u00b2", "-1", "", "1e3", "99999999999999999999", "9999999999"])
+def test_malformed_lengths_are_damage(length):
+    plain = gzip.decompress(warc.record(1, "u", "text")).replace(b"Content-Length: 4", f"Content-Length: {length}".encode())
+    with pytest.raises(warc.Corrupt):
+        list(warc.records(io.BytesIO(gzip.compress(plain))))
+
+
+def test_page_ids_that_are_no_bigints_are_null():
+    for given, expected in (("9" * 19, None), (str(2**63 - 1), 2**63 - 1), (str(-(2**63)), -(2**63)), ("x", None), ("\u0663", None)):
+        assert warc._row("f", 0, {"x-page-id": given}, b"")["page_id"] == expected
+
+
+def test_errors_are_numbered_after_the_records_before_them(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.record(k, "u", "text") for k in range(5)) + b"no gzip")
+    rows = warc.read_warc(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "file string")).collect()
+    assert sorted(r.record_no for r in rows) == list(range(6)) and next(r for r in rows if r.error).record_no == 5
