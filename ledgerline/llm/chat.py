@@ -24,6 +24,8 @@ _FIXED = np.frombuffer(b"".join(_PIECES), np.uint8)
 _FIXED_AT = np.cumsum([0, *map(len, _PIECES)])
 #: Bytes assembled at once; index arrays take eight bytes for each of them.
 _BLOCK = 1 << 23
+#: Bytes of the conversations of one batch of results; a longer conversation is a batch of its own.
+_EMITTED = 1 << 28
 
 
 def assemble(roles: pa.Array, contents: pa.Array, bounds: np.ndarray) -> pa.Array:
@@ -57,28 +59,36 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Turns come in order; those of the last conversation of a batch wait for the next one."""
     waiting: list[pa.RecordBatch] = []
 
-    def emit(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
+    def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        wide = pa.schema([("conv_id", pa.int64()), ("role", pa.large_string()), ("text", pa.large_string())])
+        rows = rows.cast(wide).combine_chunks()  # all turns together may be longer than a string column holds
         ids = rows.column(0).to_numpy()
         bounds = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
-        text = assemble(rows.column(1), rows.column(2), bounds)
-        return pa.RecordBatch.from_arrays([pa.array(ids[bounds[:-1]]), pa.array(np.diff(bounds), pa.int64()), text.cast(pa.string())], ["conv_id", "n_turns", "text"])
+        size = sum(np.diff(text_buffer(rows.column(k))[1]) for k in (1, 2)) + _FIXED_AT[-1]
+        ends = np.concatenate([[0], np.cumsum(size)])[bounds]
+        first = 0
+        while first < len(bounds) - 1:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + _EMITTED, side="right")) - 1)
+            part = rows.slice(bounds[first], bounds[last] - bounds[first])
+            text = assemble(part.column(1), part.column(2), bounds[first : last + 1] - bounds[first])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[bounds[first:last]]), pa.array(np.diff(bounds[first : last + 1]), pa.int64()), text.cast(pa.string())], ["conv_id", "n_turns", "text"])
+            first = last
 
     for batch in batches:
         if not batch.num_rows:
             continue
         ids = batch.column(0).to_numpy()
         if waiting and waiting[-1].column(0)[0].as_py() != ids[0]:
-            yield emit(pa.Table.from_batches(waiting))
+            yield from emit(pa.Table.from_batches(waiting))
             waiting = []
         other = np.flatnonzero(ids != ids[-1])
         cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
-            yield emit(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
+            yield from emit(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
             waiting = []
         waiting.append(batch.slice(cut))
     if waiting:
-        yield emit(pa.Table.from_batches(waiting))
+        yield from emit(pa.Table.from_batches(waiting))
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -87,7 +97,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Turns are ordered by turn, nulls first; ties by role, then by content; rows that repeat are all kept.
     A null role is "unknown", a null content is empty. The sign "<|im_" in a role or content is broken to
     "< |im_", so that no text can end or open a turn. Turns with a null conversation id belong to none
-    and are left out. An empty table gives no rows; other columns are ignored, whatever their names.
+    and are left out. An empty table gives no rows; other columns are ignored, whatever their names. Very
+    long turns are copied whole; a conversation of over 2 GiB, which no row can hold, fails the job.
     """
 
     def safe(c, default: str):

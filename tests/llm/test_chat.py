@@ -1,3 +1,4 @@
+import pyarrow as pa
 import duckdb
 import pytest
 
@@ -52,3 +53,14 @@ def test_blocks_of_any_size(spark, rows, monkeypatch):
 
 def test_empty_table(spark):
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_results_in_many_batches_are_the_same(spark, monkeypatch):
+    from ledgerline.llm import chat
+
+    ids = pa.array([1, 1, 2, 3, 3, 3], pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(list("abcdef")), pa.array(["x" * k for k in range(6)])], ["conv_id", "role", "text"])
+    whole = pa.Table.from_batches(chat._format(iter([batch])))
+    monkeypatch.setattr(chat, "_EMITTED", 10)
+    parts = list(chat._format(iter([batch])))
+    assert len(parts) == 3 and pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
