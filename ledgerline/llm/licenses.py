@@ -13,6 +13,7 @@ found with numpy, and only they are streamed, from the start state, to the same
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,7 +198,7 @@ class Scanner:
         best: list[tuple[int, int]] = []
         for j, (t, p, n) in enumerate(found):
             top = (n, -1)
-            for i in range(j - 1, -1, -1):
+            for i in range(j - 1, -1, -1):  # no further back than the longest block and the gap reach
                 u, q, m = found[i]
                 if t - (u + longest) > self.max_gap:
                     break
@@ -207,19 +208,22 @@ class Scanner:
                 if gain > 0 and best[i][0] + gain > top[0]:
                     top = (best[i][0] + gain, i)
             best.append(top)
+        begin, stop = [t for t, _, _ in found], [t + n for t, _, n in found]
+        for j, (_, i) in enumerate(best):  # a chain's first and last word follow from its last block's
+            if i >= 0:
+                begin[j], stop[j] = begin[i], max(stop[j], stop[i])
         out: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int]] = []  # in order; they don't overlap
         for j in sorted(range(len(found)), key=lambda j: (-best[j][0], j)):
-            i, path = j, []
-            while i >= 0:
-                path.append(i)
-                i = best[i][1]
-            start, end = found[path[-1]][0], max(found[i][0] + found[i][2] for i in path)
-            if all(end <= a or start >= b for a, b, _ in out):
+            start, end = begin[j], stop[j]
+            k = bisect(taken, (start, end))
+            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= end):
+                taken.insert(k, (start, end))
                 out.append((start, end, best[j][0]))
         return out
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, min_match: int = MIN_MATCH, min_coverage: float = MIN_COVERAGE, max_gap: int = MAX_GAP) -> DataFrame:
     """(doc_id, license, start_word, end_word, n_covered, n_template), a row for each covered span.
 
     A span covers at least min_coverage of the template's words, in chained matches of at least min_match
@@ -228,7 +232,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without words give no rows; rows that repeat, and rows with a null id, are scanned each. Other columns
     are ignored, whatever their names. Texts of any length are scanned whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, min_match, min_coverage))
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, min_match, min_coverage, max_gap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

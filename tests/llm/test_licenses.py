@@ -96,3 +96,21 @@ def test_a_notice_is_found_inside_what_a_longer_template_matches(spark, make_doc
     texts = ["Licensed under the Apache License, Version 2.0. The rest is ours.", 'Licensed under the Apache License, Version 2.0 (the "License").']
     rows = L.scan_licenses(make_docs(list(enumerate(texts)))).collect()
     assert sorted((r.doc_id, r.license, r.start_word, r.n_covered) for r in rows) == [(0, "Apache-2.0-notice", 0, 8), (1, "Apache-2.0-notice", 0, 8)]
+
+
+def test_many_notices_in_one_text_take_time_in_proportion():
+    import time
+
+    scanner = L.Scanner(L.TEMPLATES)
+    line = "All rights reserved. No part of this work may be reproduced without permission. Copyright. "
+    took = []
+    for n in (4000, 16000):
+        raw, offsets = text_buffer(pa.array([line * n]))
+        found = words(raw, offsets, 0, 1)
+        began = time.process_time()
+        got = list(scanner.findings(found.hashes, found.doc_bounds))
+        took.append(time.process_time() - began)
+        assert len(got) >= 0.9 * n
+        spans = sorted((s, e) for _, _, s, e, _, _ in got)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert took[1] < 9 * took[0] + 0.5
