@@ -37,9 +37,17 @@ def owners(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str)
     if rule == "end":
         return last, crossing
     out = first.copy()
-    for t in np.flatnonzero(crossing):
-        edges = np.concatenate([[starts[t]], bounds[first[t] + 1 : last[t] + 1], [ends[t]]])
-        out[t] = first[t] + int(np.argmax(np.diff(edges)))
+    which = np.flatnonzero(crossing)
+    if len(which):
+        n = (last - first)[which] + 1  # sections that each of these tokens lies in, one after another
+        begin = np.cumsum(n) - n
+        token = np.repeat(which, n)
+        section = np.repeat(first[which], n) + np.arange(n.sum()) - np.repeat(begin, n)
+        stop = np.append(bounds[1:], np.iinfo(np.int64).max)
+        shared = np.minimum(ends[token], stop[section]) - np.maximum(starts[token], bounds[section])
+        most = np.flatnonzero(shared == np.repeat(np.maximum.reduceat(shared, begin), n))
+        _, earliest = np.unique(token[most], return_index=True)
+        out[which] = section[most[earliest]]
     return out, crossing
 
 

@@ -41,3 +41,19 @@ def test_odd_rows(spark, odd_docs, make_docs):
     assert T.token_counts(make_docs([])).count() == 0
     with pytest.raises(ValueError):
         T.token_counts(odd_docs, rule="other")
+
+
+def test_majority_against_plain_loops():
+    import numpy as np
+
+    from ledgerline.llm import tokencounts as T
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        size = rng.integers(1, 7, rng.integers(1, 30))
+        ends = np.cumsum(size)
+        bounds = np.unique(np.concatenate([[0], rng.integers(0, ends[-1], rng.integers(0, 25))]))
+        got, crossing = T.owners(ends - size, ends, bounds, "majority")
+        for t, (a, b) in enumerate(zip(ends - size, ends)):
+            held = [sum(bounds[s] <= x and (s + 1 == len(bounds) or x < bounds[s + 1]) for x in range(a, b)) for s in range(len(bounds))]
+            assert got[t] == int(np.argmax(held)) and crossing[t] == (sum(h > 0 for h in held) > 1)
