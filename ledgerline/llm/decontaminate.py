@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.words import blocks, mix, text_buffer, words
+from ledgerline.storage import cut
 
 #: A window matches at an edit distance of up to this share of the item's words, rounded down.
 MAX_EDITS = 0.15
 TARGET_RECALL = 0.95
 #: Outputs in one hash, at most; short walks have fewer.
 SAMPLES = 3
+#: From so many repetitions on, items of a length that still misses the target are searched exactly instead.
 MAX_REPETITIONS = 64
 #: Edited copies drawn for a group of lengths, and for each length in it, at least.
 TRIES, TRIES_A_LENGTH = 2000, 100
@@ -303,11 +305,16 @@ def _items(items: DataFrame, id_col: str, text_col: str) -> list[tuple[int, np.n
     return sorted(((i, w) for i, w in out if len(w)), key=lambda x: (x[0], x[1].tolist()))
 
 
-def _passes(items: DataFrame, id_col: str, text_col: str, max_edits: float, target: float) -> list[Index]:
-    """The items by slices of ids; a slice holds about ITEMS_A_PASS items, so what is sent to tasks has a bound."""
+def _passes(items: DataFrame, id_col: str, text_col: str, max_edits: float, target: float) -> Iterator[tuple[Index, bool]]:
+    """The items by slices of ids, and whether a slice is the last.
+
+    A slice holds about ITEMS_A_PASS items; one index at a time is built and sent, so that what the driver
+    and a task hold has a bound, however many items there are.
+    """
     slices = max(1, -(-items.count() // ITEMS_A_PASS))
-    parts = (items.where(F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(slices)) == k) if slices > 1 else items for k in range(slices))
-    return [Index(_items(p, id_col, text_col), max_edits, target) for p in parts]
+    for k in range(slices):
+        part = items.where(F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(slices)) == k) if slices > 1 else items
+        yield Index(_items(part, id_col, text_col), max_edits, target), k == slices - 1
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, target: float = TARGET_RECALL) -> DataFrame:
@@ -322,7 +329,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     spark, found = docs.sparkSession, None
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    for index in _passes(items, item_col, item_text_col, max_edits, target):
+    for index, last in _passes(items, item_col, item_text_col, max_edits, target):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -334,6 +341,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())))], _NAMES)
 
         part = texts.mapInArrow(run, _RESULT)
+        if not last:
+            part = cut(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start_word", "end_word", "n_words")).alias("m"))
     return best.select("doc_id", "item_id", "m.distance", "m.n_words", "m.start_word", "m.end_word")
@@ -342,7 +352,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS, target: float = TARGET_RECALL) -> DataFrame:
     """docs without the rows that find_leaks finds an item in, all columns kept; rows with a null id or text stay."""
     spark = docs.sparkSession
-    for index in _passes(items, item_col, item_text_col, max_edits, target):
+    for index, last in _passes(items, item_col, item_text_col, max_edits, target):
         shared = spark.sparkContext.broadcast(index)
 
         def leaks(text, shared=shared):
@@ -354,4 +364,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         leaks.__annotations__ = {}
         docs = docs.where(~F.pandas_udf(leaks, "boolean")(F.col(text_col).cast("string")))
+        if not last:
+            docs = cut(docs)
+            shared.destroy()
     return docs
