@@ -26,7 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     where = spark._jvm.org.apache.hadoop.fs.Path(named)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    uri = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub("^file:/(?!/)", "file:///", uri)
 
 
 def cut(df: DataFrame) -> DataFrame:
