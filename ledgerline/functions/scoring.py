@@ -64,3 +64,13 @@ def percent_complete(lists: Column, current: Column, done: Column, total: Column
 
 def chunk_percent(offset: Column, total: Column, otherwise: Column) -> Column:
     return F.coalesce(F.when(total > 0, offset / total * 100), otherwise)
+
+
+def shown_percent(score: Column) -> Column:
+    """A score as a reviewer sees it: whole percents."""
+    return half_up(score).cast("int")
+
+
+def shown_delay(ms: Column) -> Column:
+    """Seconds to a tenth of a delay worth telling, over half a second; null for others."""
+    return F.when(ms > 500, half_up(ms / 1000, 1))

@@ -167,8 +167,8 @@ def suggestions(scored: DataFrame) -> DataFrame:
 class Matches:
     """Decisions of one run: matched (source_id, target_id, match_type, score) and the scored candidates of the rest."""
 
-    def __init__(self, source: DataFrame, target: DataFrame, favorites: DataFrame | None = None):
-        self.source, target = cut(prepare_source(source)), cut(prepare_target(target))
+    def __init__(self, source: DataFrame, target: DataFrame, favorites: DataFrame | None = None, prepared: bool = False):
+        self.source, target = cut(prepare_source(source)), target if prepared else cut(prepare_target(target))
         by_code = match_codes(self.source, target, favorites).select("source_id", "target_id", F.lit("code").alias("match_type"), F.lit(100.0).alias("score"))
         by_code = cut(by_code)
         rest = self.source.join(by_code, "source_id", "left_anti")

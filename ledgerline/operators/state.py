@@ -157,11 +157,18 @@ def parse_json(column: Column | str, schema: str) -> Column:
 
 
 def merge_status(tasks: DataFrame, runs: DataFrame) -> DataFrame:
-    """Tasks with their run's counters: what the task's own progress says comes first, then the run, then 0."""
-    progress = parse_json("progress_json", "tracks_matched int, tracks_not_matched int")
-    run = runs.select(F.col("id").alias("run_id"), F.col("status").alias("run_status"), F.col("tracks_matched").alias("__m"), F.col("tracks_not_matched").alias("__n"))
-    joined = tasks.withColumn("__p", progress).join(run, "run_id", "left")
-    return joined.select("id", "user_id", "run_id", "status", "run_status", F.coalesce("__p.tracks_matched", "__m", F.lit(0)).alias("tracks_matched"), F.coalesce("__p.tracks_not_matched", "__n", F.lit(0)).alias("tracks_not_matched"))
+    """Tasks with their run's counters, which chunks that are done have settled.
+
+    They count where the task isn't running, or has told none of its own while the run has some; else
+    what the task's progress says does. What neither knows is 0.
+    """
+    names = ["tracks_matched", "tracks_not_matched"]
+    run = runs.select(F.col("id").alias("run_id"), F.col("status").alias("run_status"), *(F.coalesce(c, F.lit(0)).alias(f"__{c}") for c in names))
+    joined = tasks.withColumn("__p", parse_json("progress_json", ", ".join(f"{c} int" for c in names))).join(run, "run_id", "left")
+    told = F.coalesce("__p.tracks_matched", "__p.tracks_not_matched").isNotNull()
+    some = (F.col("__tracks_matched") > 0) | (F.col("__tracks_not_matched") > 0)
+    settled = F.coalesce(F.col("run_status").isNotNull() & ((F.col("status") != "running") | (~told & some)), F.lit(False))
+    return joined.select("id", "user_id", "run_id", "status", "run_status", *(F.when(settled, F.col(f"__{c}")).otherwise(F.coalesce(f"__p.{c}", F.lit(0))).alias(c) for c in names))
 
 
 def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

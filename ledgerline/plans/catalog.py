@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.plans import list_queries, match_queries, state_queries, text_queries
+from ledgerline.plans import list_queries, match_queries, state_queries, sync_queries, text_queries
 
-_PARTS = (list_queries, text_queries, match_queries, state_queries)
+_PARTS = (list_queries, text_queries, match_queries, state_queries, sync_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

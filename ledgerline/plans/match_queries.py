@@ -83,8 +83,9 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = M.source_tracks(spark, sf_dir)
     tracks.repartitionByRange(2, "position").sortWithinPartitions("position").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(tracks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    ChunkedSync(spark, folder, cut(M.view(spark, sf_dir, M.TARGET)), M.view(spark, sf_dir, M.FAVORITES)).run(stream, f"{folder}/checkpoint")
-    return ChunkedSync(spark, folder, tracks, tracks).written().groupBy("target_id").agg(F.count("*").alias("times"))
+    engine = ChunkedSync(spark, folder, M.view(spark, sf_dir, M.TARGET), M.view(spark, sf_dir, M.FAVORITES))
+    engine.run(stream, f"{folder}/checkpoint")
+    return engine.written().groupBy("target_id").agg(F.count("*").alias("times"))
 
 
 QUERIES = {f.__name__: f for f in (match_cascade, match_suggestions, exact_match_fastpath, candidates, album_match, album_suggestions, sync_classify, sync_report, sync_chunks, sync_final_report, recent_missing, write_batches, stream_chunks)}

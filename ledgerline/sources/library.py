@@ -54,6 +54,26 @@ def resume(saved: DataFrame, offset: int, chunk: int | None = None) -> DataFrame
     return after if chunk is None else after.where(F.col("position") <= offset + chunk)
 
 
+def page(rows: DataFrame, limit: int, order: str = "position") -> DataFrame:
+    """The first rows by order, as one page of a service holds them."""
+    return rows.orderBy(order).limit(limit)
+
+
+def ids_of(rows: DataFrame, limit: int | None = None, order: str = "position") -> DataFrame:
+    """The ids that rows have, of all or of one page by order."""
+    return (rows if limit is None else page(rows, limit, order)).where("id IS NOT NULL").select("id")
+
+
+def tracks_of(members: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(playlist_id, position, id, title, artist, album, duration_ms, code) of each list; what isn't known is "Unknown"."""
+
+    def known(c: str) -> Column:
+        return F.coalesce(F.nullif(c, F.lit("")), F.lit("Unknown")).alias(c)
+
+    joined = members.join(tracks, members["track_id"] == tracks["id"])
+    return joined.select("playlist_id", "position", "id", "title", known("artist"), known("album"), (F.coalesce("duration", F.lit(0)) * 1000).cast("bigint").alias("duration_ms"), "code")
+
+
 def playlist_named(playlists: DataFrame, name: str) -> DataFrame:
     """The first playlist of exactly that name."""
     return playlists.where(F.col("name") == name).orderBy("id").limit(1)

@@ -62,3 +62,24 @@ def retry_delays(attempts: int = 4, first_ms: int = 1000, limited: bool = False,
         waits.append((retry_after_ms if retry_after_ms is not None else 2 * delay) if limited else delay)
         delay *= 2
     return waits
+
+
+def retries(outcomes: Column, attempts: int = 4, first_ms: int = 1000) -> Column:
+    """struct<state, attempts, waited_ms> of a request, from an array of struct<status, retry_after_s> in order.
+
+    "ok" at the first status below 400; "failed" at once at a 4xx but 429; a 429 waits what it was told, or
+    twice the delay, which it also sets; all else, a null status among it, waits the delay and doubles it,
+    but after the last attempt. Without a success the request has failed; with attempts left it is "open".
+    """
+
+    def merge(s: Column, o: Column) -> Column:
+        n, status = s["attempts"] + 1, F.coalesce(o["status"], F.lit(599))
+        limited = F.coalesce(o["retry_after_s"] * 1000, s["delay"] * 2).cast("bigint")
+        last = n >= attempts
+        wait = F.when(status < 400, 0).when(status == 429, limited).when((status < 500) | last, 0).otherwise(s["delay"])
+        state = F.when(status < 400, "ok").when(last | ((status < 500) & (status != 429)), "failed").otherwise("open")
+        after = F.struct(state.alias("state"), n.alias("attempts"), (s["waited_ms"] + wait).alias("waited_ms"), F.when(status == 429, limited).when(status >= 500, s["delay"] * 2).otherwise(s["delay"]).alias("delay"))
+        return F.when(s["state"] != "open", s).otherwise(after)
+
+    start = F.struct(F.lit("open").alias("state"), F.lit(0).alias("attempts"), F.lit(0).cast("bigint").alias("waited_ms"), F.lit(first_ms).cast("bigint").alias("delay"))
+    return F.aggregate(outcomes, start, merge, lambda s: F.struct(s["state"].alias("state"), s["attempts"].alias("attempts"), s["waited_ms"].alias("waited_ms")))
