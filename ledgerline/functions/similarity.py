@@ -6,7 +6,9 @@ An empty string is like nothing, not even another empty one; null counts as empt
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +58,28 @@ def _partial(p: Column) -> Column:
     return _bind(ordered, best)
 
 
+def _once(measure: Callable) -> Callable:
+    """measure, with its tree for two column names built once a JVM: it has hundreds of nodes, each a call."""
+    known: dict[tuple, Column] = {}
+
+    @wraps(measure)
+    def run(a: Column | str, b: Column | str) -> Column:
+        if not (isinstance(a, str) and isinstance(b, str)):
+            return measure(a, b)
+        key = (a, b, id(SparkContext._gateway))
+        if key not in known:
+            known[key] = measure(a, b)
+        return known[key]
+
+    return run
+
+
 def ratio(a: Column | str, b: Column | str) -> Column:
     """By edit distance over the longer length, rounded half up."""
     return _bind(_pair(a, b), lambda p: _ratio(p))
 
 
+@_once
 def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
     """ratio of the words in order of their code points."""
     return _bind(_pair(a, b), _token_sort)
@@ -71,11 +90,13 @@ def token_set_ratio(a: Column | str, b: Column | str) -> Column:
     return _bind(_pair(a, b), _token_set)
 
 
+@_once
 def partial_ratio(a: Column | str, b: Column | str) -> Column:
     """The best ratio of the shorter string with a window of its length in the longer one."""
     return _bind(_pair(a, b), _partial)
 
 
+@_once
 def best_ratio(a: Column | str, b: Column | str) -> Column:
     """The best of the four; with an empty string all are 0, and equal strings need none."""
 

@@ -31,7 +31,7 @@ def album_candidates(source: DataFrame, target: DataFrame) -> DataFrame:
     variants = source.select("source_id", "artist", F.posexplode(T.title_variants("title")).alias("variant", "v_title"))
     asked = variants.select(F.struct("source_id", "variant").alias("query_id"), F.col("artist").alias("block"), F.lower("v_title").alias("title"))
     offered = target.select("target_id", F.col("t_artist").alias("block"), F.lower("t_title").alias("title"))
-    searched = top_candidates(asked, offered, CANDIDATES).select("query_id.source_id", "query_id.variant", "target_id", "rank")
+    searched = cut(top_candidates(asked, offered, CANDIDATES).select("query_id.source_id", "query_id.variant", "target_id", "rank"))
     first = searched.groupBy("source_id", "target_id").agg(F.min(F.struct("variant", F.lit(0).alias("kind"), "rank")).alias("seen"))
     fresh = first.groupBy("source_id").agg(F.collect_list("seen.variant").alias("__v"))
     wanting = variants.where("variant > 0").join(fresh, "source_id", "left").where(F.size(F.filter(F.coalesce("__v", F.array().cast("array<int>")), lambda v: v <= F.col("variant"))) < ENOUGH)
@@ -58,7 +58,7 @@ def match_albums(albums: DataFrame, catalog: DataFrame) -> DataFrame:
     codes = target.where("t_code IS NOT NULL").groupBy(F.col("t_code").alias("code")).agg(F.min("target_id").alias("target_id"))
     by_code = cut(source.where("code IS NOT NULL").join(codes, "code").select("source_id", "target_id", F.lit("code").alias("match_type"), F.lit(100.0).alias("score")))
     rest = source.join(by_code, "source_id", "left_anti")
-    scored = score_albums(album_candidates(rest, target).join(rest, "source_id").join(target, "target_id"))
+    scored = score_albums(cut(album_candidates(rest, target)).join(rest, "source_id").join(target, "target_id"))
     best = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("combined"), "seen", "target_id"))
     fuzzy = scored.where(F.col("combined") >= C.MIN_ALBUM).withColumn("__k", best).where("__k = 1").select("source_id", "target_id", F.lit("fuzzy").alias("match_type"), F.col("combined").alias("score"))
     return by_code.unionByName(fuzzy)
@@ -69,7 +69,7 @@ def album_suggestions(albums: DataFrame, catalog: DataFrame) -> DataFrame:
     source, target = _source(albums), _target(catalog)
     asked = source.select(F.col("source_id").alias("query_id"), F.col("artist").alias("block"), F.lower("title").alias("title"))
     offered = target.select("target_id", F.col("t_artist").alias("block"), F.lower("t_title").alias("title"))
-    found = top_candidates(asked, offered, SUGGESTED).withColumnRenamed("query_id", "source_id")
+    found = cut(top_candidates(asked, offered, SUGGESTED)).withColumnRenamed("query_id", "source_id")
     scored = score_albums(found.join(source, "source_id").join(target, "target_id")).where((F.col("title_score") >= C.ALBUM_TITLE) & (F.col("artist_score") >= C.ALBUM_ARTIST))
     score = C.half_up(F.col("title_score") * F.lit(0.7) + F.col("artist_score") * F.lit(0.3))
     place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "rank"))

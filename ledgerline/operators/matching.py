@@ -96,7 +96,7 @@ def _searched(source: DataFrame, target: DataFrame, block: str, title: str, t_bl
     """Source rows with their candidates and the candidates' ranks; all columns of both."""
     asked = source.select(F.col("source_id").alias("query_id"), F.col(block).alias("block"), F.col(title).alias("title"))
     offered = target.select("target_id", F.col(t_block).alias("block"), F.col("tn_title").alias("title"))
-    found = top_candidates(asked, offered)
+    found = cut(top_candidates(asked, offered))  # narrow; scoring uses it five times
     return source.join(found, source["source_id"] == found["query_id"]).drop("query_id").join(target, "target_id")
 
 
@@ -134,7 +134,7 @@ def match_fallback(source: DataFrame, target: DataFrame) -> DataFrame:
     offers = F.array(*(tagged(p, t_block) for p, (*_, t_block) in enumerate(searches)))
     asked = source.select("source_id", F.explode(asks).alias("q")).select(F.struct("source_id", "q.prio").alias("query_id"), "q.block", "q.title")
     offered = target.select("target_id", F.explode(offers).alias("block"), F.col("tn_title").alias("title"))
-    hits = top_candidates(asked, offered).select("query_id.source_id", "query_id.prio", "target_id", "rank")
+    hits = cut(top_candidates(asked, offered).select("query_id.source_id", "query_id.prio", "target_id", "rank"))
     names = F.array(*map(F.lit, FALLBACKS))
     found = source.join(hits, "source_id").join(target, "target_id").withColumn("match_type", F.get(names, F.col("prio")))
     scored = score_distinct(score_pairs(found), "n_artist", "tn_artist", "plain_artist", best_ratio)

@@ -1,10 +1,11 @@
 import os
+from functools import lru_cache
 
 import duckdb
 import pandas as pd
 import pytest
 
-from ledgerline.plans import catalog
+from ledgerline.plans import catalog, match_queries, sync_queries
 
 DIR = os.environ.get("LEDGERLINE_TEST_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events"
@@ -19,6 +20,15 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def share():
+    """What many queries begin with is computed once here; the queries themselves share nothing."""
+    with pytest.MonkeyPatch.context() as patch:
+        for module, name in ((match_queries, "_classified"), (match_queries, "_matches"), (sync_queries, "_albums"), (sync_queries, "_playlist_sync")):
+            patch.setattr(module, name, lru_cache(getattr(module, name)))
+        yield
+
+
 def canon(df):
     def show(x):
         return "null" if x is None or x is pd.NaT or (isinstance(x, float) and x != x) or x is pd.NA else f"{float(x):.9g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
