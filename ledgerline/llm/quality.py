@@ -44,7 +44,8 @@ TRAIN_ROWS = 20_000
 REJECT_AT = 0.5
 #: Weight decay of both layers.
 DECAY = 0.1
-_SLABS = 32
+#: A slab is one value of a row; below half a megabyte the JVM doesn't treat it as a huge object.
+_SLABS = 256
 _U = np.uint64
 #: Stands for every token that equals the one before it.
 REPEATED = _U(0x5851F42D4C957F2D)
@@ -168,7 +169,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> WordTable:
     path = scratch_path(spark, "words")
     parts.groupBy("slab").applyInArrow(_finish, _SLAB_DDL).write.parquet(path)
     totals = np.zeros(DIMENSIONS + 1)
-    for row in spark.read.parquet(path).select("totals").collect():  # a row of 2 kB for each of the slabs
+    for row in spark.read.parquet(path).select("totals").collect():  # 2 kB for each of the slabs
         totals += np.frombuffer(row["totals"], np.int64)
     return WordTable(path, totals[:-1] / max(1.0, totals[-1]), max(1.0, totals[-1]))
 
