@@ -55,7 +55,7 @@ def test_leaks_against_all_windows(spark, docs):
             d, *_ = D.best_windows(np.repeat(w[None], len(part), axis=0), np.full(len(part), len(w)), own.hashes, own.doc_bounds[part], own.doc_bounds[part + 1])
             expected |= {(docs["doc_id"][int(x)].as_py(), item_id): int(n) for x, n in zip(part, d) if n <= D.allowed(len(w), D.MAX_EDITS)}
     got = {(r.doc_id, r.item_id): r.distance for r in run(spark, "op4_decontamination").itertuples()}
-    assert set(got) <= set(expected) and len(got) >= 0.9 * len(expected) and all(expected[k] == d for k, d in got.items())
+    assert set(got) <= set(expected) and len(got) >= 0.95 * len(expected) and all(expected[k] == d for k, d in got.items())
 
 
 def test_near_duplicates_against_all_pairs(spark, docs):
@@ -64,7 +64,16 @@ def test_near_duplicates_against_all_pairs(spark, docs):
     ids = np.array(docs["doc_id"].to_pylist())[rows]
     got = run(spark, "op7_simhash").set_index("doc_id").group_id
     a, b = np.nonzero(near)
-    assert (got[ids[a]].to_numpy() == got[ids[b]].to_numpy()).mean() >= 0.9
+    assert (got[ids[a]].to_numpy() == got[ids[b]].to_numpy()).mean() >= 0.95
+    whole = np.arange(len(ids))  # what all near pairs connect; nothing else may be grouped
+    for _ in range(len(ids)):
+        before = whole.copy()
+        np.minimum.at(whole, a, whole[b])
+        np.minimum.at(whole, b, whole[a])
+        if (before == whole).all():
+            break
+    place = dict(zip(ids.tolist(), whole.tolist()))
+    assert all(place[d] == place[g] for d, g in got.items() if d in place and g in place)
 
 
 def test_embeddings_against_all_pairs(spark):
@@ -73,7 +82,7 @@ def test_embeddings_against_all_pairs(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     expected = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in np.argwhere(np.triu(x @ x.T >= vectors.THRESHOLD, 1))}
     got = {(r.vec_a, r.vec_b) for r in run(spark, "op8_embedding_dedup").itertuples()}
-    assert len(got & expected) >= 0.9 * len(expected) and got <= expected
+    assert len(got & expected) >= 0.95 * len(expected) and got <= expected
 
 
 def test_licences_against_streaming_every_word(spark, docs, monkeypatch):
