@@ -69,3 +69,40 @@ def test_spells_end_with_a_gap(spark):
     query = out.writeStream.outputMode("append").format("memory").queryName("spells").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.k, r.n) for r in spark.table("spells").collect()} >= {("a", 5), ("a", 1)}
+
+
+def _library(spark, n=12):
+    target = spark.createDataFrame([(k, f"Song number {k} {'abcdefghij'[k % 10] * 4}", f"Artist {k % 3}", "Album", 100_000, f"C{k}") for k in range(n)], schemas.TARGET_TRACKS)
+    tracks = spark.createDataFrame([(k + 1, f"s{k}", "x", f"Artist {k % 3}", [], "Album", 100_000, f"C{k}") for k in range(n)], schemas.SOURCE_TRACKS)
+    return tracks, target, spark.createDataFrame([], schemas.FAVORITES)
+
+
+def test_failed_batches_are_errors_and_stay_out_of_the_ledger(spark, monkeypatch):
+    from ledgerline.operators import sync
+
+    tracks, target, favorites = _library(spark)
+
+    def sink(ids):
+        if 3 in ids:
+            raise OSError("no")
+
+    monkeypatch.setattr(sync.write_batches, "__defaults__", (4,))
+    done = sync.run_sync(tracks, target, spark.createDataFrame([("s11",)], "source_id string"), favorites, sink=sink)
+    assert sorted(r.target_id for r in done.writes.collect()) == [4, 5, 6, 7, 8, 9, 10]
+    assert {r.source_id for r in done.ledger.collect()} == {"s11", *(f"s{k}" for k in range(4, 11))}
+    assert [(r.chunk, r.batch, r.error) for r in done.errors.collect()] == [(0, 0, "batch of 4 failed: no")]
+    assert sync.run_sync(tracks, target, spark.createDataFrame([], "source_id string"), favorites, dry_run=True, sink=sink).writes.isEmpty()
+
+
+def test_a_cancelled_stream_goes_on_later_and_tells_its_progress(spark):
+    tracks, target, favorites = _library(spark)
+    folder, told = scratch_path(spark, "cancelled"), []
+    for k in range(3):
+        tracks.where(f"position % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(tracks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    engine = ChunkedSync(spark, folder, target, favorites, ledger_ids=spark.createDataFrame([("s2",)], "source_id string"))
+    assert engine.run(stream, f"{folder}/checkpoint", cancelled=lambda: True) is False
+    assert engine.run(stream, f"{folder}/checkpoint", tell=told.append) is True
+    assert sorted(r.target_id for r in engine.written().collect()) == [0, 1, *range(3, 12)]
+    totals = engine.totals().first()
+    assert (totals.tracks_matched, totals.tracks_skipped) == (11, 1) and engine.errors().isEmpty()
