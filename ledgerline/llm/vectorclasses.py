@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
@@ -39,9 +39,11 @@ SAMPLE = 8192
 MEET = 0.995
 MOST_TABLES, MOST_BITS = 48, 16
 #: Numbers in a chunk of vectors.
-CHUNK_NUMBERS = 1 << 20
+CHUNK_NUMBERS = 1 << 21
+#: About the nanoseconds that moving a vector and comparing a pair take, and those for each dimension.
+MOVE, PAIR = (30_000, 1_000), (1, 0.03)
 #: Rows of a chunk compared at once with another chunk.
-ROWS = 256
+ROWS = 128
 #: Tables in one shuffle.
 TABLES_A_PASS = 3
 #: Bytes of vectors in a partition of the shuffle.
@@ -57,8 +59,25 @@ def _noisy(x: np.ndarray, cosine: float, seed: int) -> np.ndarray:
     return (cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * aside).astype(np.float32)
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """The rows of x as bytes: they are moved as they are, lists of numbers one by one."""
+    x = np.ascontiguousarray(x)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    rows = [np.zeros((0, width), kind)]
+    for part in parts:
+        if len(part):
+            first = np.frombuffer(part.buffers()[1], np.int32)[part.offset]
+            rows.append(np.frombuffer(part.buffers()[2], np.uint8, len(part) * width * np.dtype(kind).itemsize, first).view(kind).reshape(-1, width))
+    return rows[1] if len(rows) == 2 else np.concatenate(rows)
+
+
 def chunk_size(dims: int) -> int:
-    return max(64, min(1 << 14, CHUNK_NUMBERS // dims))
+    return max(64, min(1 << 15, CHUNK_NUMBERS // dims))
 
 
 def fit(sample: np.ndarray, n: int, threshold: float, most_bits: int = MOST_BITS, least_bits: int = 0) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -78,7 +97,8 @@ def fit(sample: np.ndarray, n: int, threshold: float, most_bits: int = MOST_BITS
             break
         sizes = np.unique(side[:, :bits] @ (1 << np.arange(bits)), return_counts=True)[1] if bits else np.array([len(side)])
         crowd = n * (sizes * (sizes - 1.0)).sum() / max(1, len(side) * (len(side) - 1))  # that a vector meets on average
-        cost = tables * ((1 + crowd / chunk) * (10_000 + 500 * dims) + crowd * (1 + 0.03 * dims))  # about nanoseconds
+        copies = (sizes * np.ceil(sizes * (n / len(side)) / chunk)).sum() / len(side)
+        cost = tables * (copies * (MOVE[0] + MOVE[1] * dims) + crowd * (PAIR[0] + PAIR[1] * dims))
         if best is None or cost < best[0]:
             best = cost, bits, tables
     if best is None:  # so many bits need too many tables
@@ -94,19 +114,31 @@ def _coded(vectors: DataFrame, directions: np.ndarray, medians: np.ndarray, bits
         power = 1 << np.arange(bits)
         for batch in batches:
             side = _matrix(batch.column(2), dims) @ directions > medians
-            codes = (side.reshape(batch.num_rows, tables, bits) @ power if bits else np.zeros((batch.num_rows, tables))).astype(np.int32)
-            bounds = pa.array(np.arange(batch.num_rows + 1) * tables, pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(bounds, pa.array(codes.ravel()))], ["vec_id", "w", "v", "codes"])
+            codes = (side.reshape(batch.num_rows, tables, bits) @ power if bits else np.zeros((batch.num_rows, tables))).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(_matrix(batch.column(2), dims)), _packed(codes)], ["vec_id", "w", "v", "codes"])
+
+    return cut(vectors.select("vec_id", "w", "v").mapInArrow(run, "vec_id bigint, w bigint, v binary, codes binary"))
+
+
+def _large_cells(coded: DataFrame, tables: int, chunk: int) -> dict[tuple[int, int], int]:
+    """(table, cell): the number of vectors, of cells with over a chunk of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = _unpacked(batch.column(0), np.uint16, tables).astype(np.int64)
+            which, n = np.unique(codes + (np.arange(tables) << MOST_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(n.astype(np.int64))], ["cell", "n"])
 
-    return cut(vectors.select("vec_id", "w", "v").mapInArrow(run, "vec_id bigint, w bigint, v array<float>, codes array<int>"))
+    rows = coded.select("codes").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > chunk).collect()
+    return {(r["cell"] >> MOST_BITS, r["cell"] & (1 << MOST_BITS) - 1): r["n"] for r in rows}
 
 
-def _sent(coded: DataFrame, first: int, last: int, large: dict[tuple[int, int], int]) -> DataFrame:
+def _sent(coded: DataFrame, tables: int, first: int, last: int, large: dict[tuple[int, int], int]) -> DataFrame:
     """A row for each group that a vector belongs to: in a cell of so many chunks, one for each chunk that its own is compared with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
+            codes = _unpacked(batch.column(3), np.uint16, tables).astype(np.int32)
             mixed = (batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for t in range(first, last):
                 chunks = np.array([large.get((t, int(c)), 1) for c in codes[:, t]], np.int64)
@@ -117,7 +149,7 @@ def _sent(coded: DataFrame, first: int, last: int, large: dict[tuple[int, int],
                     part = batch.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int32)) for z in (np.full(len(rows), t), codes[rows, t], a, b, own[rows])] + part.columns, ["t", "cell", "i", "j", "chunk", "vec_id", "w", "v", "codes"])
 
-    return coded.mapInArrow(run, "t int, cell int, i int, j int, chunk int, vec_id bigint, w bigint, v array<float>, codes array<int>")
+    return coded.mapInArrow(run, "t int, cell int, i int, j int, chunk int, vec_id bigint, w bigint, v binary, codes binary")
 
 
 def connect(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,11 +165,11 @@ def connect(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _compare(dims: int, threshold: float):
+def _compare(dims: int, tables: int, threshold: float):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         t, i, j = (key[k].as_py() for k in (0, 2, 3))
-        ids, w, x = group.column("vec_id").to_numpy(), group.column("w").to_numpy(), _matrix(group.column("v"), dims)
-        codes = np.ascontiguousarray(group.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).T)
+        ids, w, x = group.column("vec_id").to_numpy(), group.column("w").to_numpy(), _unpacked(group.column("v"), np.float32, dims)
+        codes = np.ascontiguousarray(_unpacked(group.column("codes"), np.uint16, tables).T)
         mine = group.column("chunk").to_numpy() == i
         rows = np.flatnonzero(mine)
         columns = rows if i == j else np.flatnonzero(~mine)
@@ -177,15 +209,15 @@ def _found(every: DataFrame, n: int, planes: tuple[np.ndarray, np.ndarray, int,
     spark = every.sparkSession
     tables, chunk = planes[3], chunk_size(dims)
     coded = _coded(every, *planes, dims)
-    sizes = coded.select(F.posexplode("codes").alias("t", "cell")).groupBy("t", "cell").count().where(F.col("count") > chunk).collect()
-    large = {(r["t"], r["cell"]): -(-r["count"] // chunk) for r in sizes}
+    sizes = _large_cells(coded, tables, chunk)
+    large = {cell: -(-count // chunk) for cell, count in sizes.items()}
     found = None
     for first in range(0, tables, TABLES_A_PASS):
         last = min(tables, first + TABLES_A_PASS)
-        rows = n * (last - first) + sum(r["count"] * (large[r["t"], r["cell"]] - 1) for r in sizes if first <= r["t"] < last)
+        rows = n * (last - first) + sum(count * (large[cell] - 1) for cell, count in sizes.items() if first <= cell[0] < last)
         partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * dims * 4 // PARTITION)
         keys = ["t", "cell", "i", "j"]
-        part = cut(_sent(coded, first, last, large).repartition(partitions, *keys).groupBy(*keys).applyInArrow(_compare(dims, threshold), _FOUND))
+        part = cut(_sent(coded, tables, first, last, large).repartition(partitions, *keys).groupBy(*keys).applyInArrow(_compare(dims, tables, threshold), _FOUND))
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -220,10 +252,12 @@ def _recall(truth: DataFrame, links: DataFrame) -> float:
 
 def _of_dimension(unit: DataFrame, dims: int, threshold: float, target: float, bits: int | None) -> tuple[DataFrame, DataFrame]:
     """(vec_id, rep, links) of all vectors of a dimension, and (a, b) that connect the classes of reps."""
-    firsts = cut(unit.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("w")))
+    equal = Window.partitionBy("v")
+    placed = cut(unit.select("vec_id", "v", F.min("vec_id").over(equal).alias("rep"), F.count("*").over(equal).alias("w")))
+    firsts = placed.where("vec_id = rep").select("vec_id", "v", "w")
     low, high, n = firsts.agg(F.min("vec_id"), F.max("vec_id"), F.count("*")).first()
     probes = _probes(firsts.withColumn("d", F.lit(dims)), threshold, dims, low - AUDITED if low > -(2**62) else high + 1).select("vec_id", "v", F.lit(0).cast("bigint").alias("w"))
-    every = firsts.select("vec_id", "v", "w").unionByName(probes)
+    every = firsts.unionByName(probes)
     audited = probes.unionByName(firsts.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(AUDITED).select("vec_id", "v", "w"))
     truth = cut(true_links(every, audited, threshold, dims))
     sample = _matrix(firsts.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v"), dims)
@@ -238,8 +272,7 @@ def _of_dimension(unit: DataFrame, dims: int, threshold: float, target: float, b
         if not planes[2]:
             raise RuntimeError(f"audited recall {recall:.4f} is below {target} though all were compared with all")
         planes = fit(sample, n, threshold, planes[2] // 2, planes[2] // 2)
-    placed = unit.select("vec_id", "v").join(firsts.select("v", F.col("vec_id").alias("rep"), "w"), "v").select("vec_id", "rep", "w")
-    placed = placed.join(links.select(F.col("vec_id").alias("rep"), "links"), "rep", "left")
+    placed = placed.select("vec_id", "rep", "w").join(links.select(F.col("vec_id").alias("rep"), "links"), "rep", "left")
     edges = found.where("vec_id != root").select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
     return placed.select("vec_id", "rep", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links")), edges
 

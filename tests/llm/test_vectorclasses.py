@@ -44,7 +44,7 @@ def got_of(df):
 def test_all_links_and_classes(spark, points, monkeypatch):
     links, classes = truth_of(points)
     monkeypatch.setattr(V, "chunk_size", lambda _: 100)  # every pair of chunks is a group of its own
-    got = got_of(V.near_classes(spark.createDataFrame(rows_of(points), SCHEMA)))
+    got = got_of(V.near_classes(spark.createDataFrame(rows_of(points), SCHEMA), bits=0))
     assert (got[0] == links).all() and (got[1] == classes).all()
 
 
@@ -71,8 +71,8 @@ def test_a_group_holds_no_pairs():
     import pyarrow as pa
 
     n = 3000
-    group = pa.table({"vec_id": pa.array(np.arange(n)), "w": pa.array(np.ones(n, np.int64)), "v": pa.array(list(noisy(np.ones((n, 8)), 0.985, 4))), "codes": pa.array([[0]] * n, pa.list_(pa.int32())), "chunk": pa.array(np.zeros(n, np.int32))})
-    out = V._compare(8, 0.95)(tuple(pa.scalar(z) for z in (0, 0, 0, 0)), group)
+    group = pa.table({"vec_id": pa.array(np.arange(n)), "w": pa.array(np.ones(n, np.int64)), "v": V._packed(noisy(np.ones((n, 8)), 0.985, 4)), "codes": V._packed(np.zeros((n, 1), np.uint16)), "chunk": pa.array(np.zeros(n, np.int32))})
+    out = V._compare(8, 1, 0.95)(tuple(pa.scalar(z) for z in (0, 0, 0, 0)), group)
     assert out.num_rows == n and set(out["root"].to_pylist()) == {0}
 
 
