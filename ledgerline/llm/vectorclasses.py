@@ -20,6 +20,7 @@
 
 from __future__ import annotations
 
+import gc
 import logging
 import math
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ MOVE, PAIR = (30_000, 1_000), (1, 0.03)
 #: Rows of a chunk compared at once with another chunk.
 ROWS = 128
 #: Tables in one shuffle.
-TABLES_A_PASS = 3
+TABLES_A_PASS = 2
 #: Bytes of vectors in a partition of the shuffle.
 PARTITION = 32 << 20
 _log = logging.getLogger(__name__)
@@ -219,6 +220,9 @@ def _found(every: DataFrame, n: int, planes: tuple[np.ndarray, np.ndarray, int,
         keys = ["t", "cell", "i", "j"]
         part = cut(_sent(coded, tables, first, last, large).repartition(partitions, *keys).groupBy(*keys).applyInArrow(_compare(dims, tables, threshold), _FOUND))
         found = part if found is None else found.unionByName(part)
+        if last < tables:  # the shuffle's files stay until the driver's garbage is collected
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
     return found
 
 
