@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.memory import give_back
 from ledgerline.llm.words import blocks, mix, text_buffer, words
 from ledgerline.storage import cut
 
@@ -360,6 +361,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
             out = np.zeros(len(text), bool)
             out[[r[0] for r in _scan(shared.value)(*text_buffer(pa.array(text, pa.string(), from_pandas=True)))]] = True
+            give_back()
             return pd.Series(out)
 
         leaks.__annotations__ = {}

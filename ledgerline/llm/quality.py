@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import shared
+from ledgerline.llm.memory import give_back
 from ledgerline.llm.words import IS_SPACE, IS_WORD, blocks, mix, runs, span_hashes, text_buffer
 from ledgerline.storage import drop_path, scratch_path
 
@@ -46,6 +47,8 @@ REJECT_AT = 0.5
 DECAY = 0.1
 #: A slab is one value of a row; below half a megabyte the JVM doesn't treat it as a huge object.
 _SLABS = 256
+#: Bytes of text whose tokens are hashed at a time; temporary arrays take many times as much.
+BLOCK = 1 << 18
 _U = np.uint64
 #: Stands for every token that equals the one before it.
 REPEATED = _U(0x5851F42D4C957F2D)
@@ -68,11 +71,12 @@ def tokens(raw: np.ndarray, offsets: np.ndarray, first: int, last: int) -> tuple
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of this task's contexts by bucket, in slabs of buckets; the last column counts tokens."""
     width = DIMENSIONS + 1
+    give_back()  # the worker may come from another stage
     table = np.zeros(BUCKETS * width, np.int32)
     salts = range(11, 11 + NONZEROS)
     for batch in batches:
         raw, offsets = text_buffer(batch.column(0))
-        for first, last in blocks(offsets):
+        for first, last in blocks(offsets, BLOCK):
             hashes, bounds = tokens(raw, offsets, first, last)
             if not len(hashes):
                 continue
@@ -182,7 +186,7 @@ def pool(column: pa.Array, table: np.ndarray, weight: np.ndarray) -> tuple[np.nd
     """Weighted means of the table's rows over each text's tokens, and the number of its tokens."""
     raw, offsets = text_buffer(column)
     out, n = np.zeros((len(column), table.shape[1]), np.float32), np.zeros(len(column), np.int64)
-    for first, last in blocks(offsets):
+    for first, last in blocks(offsets, BLOCK):
         hashes, bounds = tokens(raw, offsets, first, last)
         at = (hashes & _U(BUCKETS - 1)).astype(np.int64)
         each = weight[at]
@@ -349,6 +353,7 @@ def _scorer(model: Model):
     @F.pandas_udf("struct<low double, toxic double, tokens bigint>")
     def score(text: pd.Series) -> pd.DataFrame:
         p, n = model.score(pa.array(text, pa.string(), from_pandas=True))
+        give_back()
         return pd.DataFrame({"low": p[:, 0], "toxic": p[:, 1], "tokens": n})
 
     return score

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -73,3 +74,22 @@ def test_odd_rows(spark, odd_docs, make_docs):
     assert {r.keep for r in Q.classify(odd_docs, none).collect() if r.doc_id in (4, 5, 6, 7, 8, 9)} == {True}
     assert Q.classify(make_docs([]), labels).count() == 0
     assert Q.keep_good(make_docs([]), none).count() == 0
+
+
+def test_word_table_starts_without_what_the_worker_had_freed(spark):
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nAnonymous: +(\d+)", f.read())[1]) / 1024
+
+    def run(batches):
+        for _ in batches:
+            pass
+        freed = [bytes(3000) for _ in range(60_000)]
+        still_used = freed[::1000]
+        del freed
+        before = held()
+        slab = next(Q._tables(iter(())))
+        yield pa.RecordBatch.from_arrays([pa.array([before - held()]), pa.array([len(still_used) + slab.num_rows])], ["mb", "n"])
+
+    fell = spark.range(1, numPartitions=1).mapInArrow(run, "mb double, n bigint").collect()[0].mb
+    assert fell > 100
