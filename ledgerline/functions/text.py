@@ -80,8 +80,9 @@ def playlist_key(s: Column | str, service: str) -> Column:
 def artists(s: Column | str) -> Column:
     """struct<primary, featured>: guests after "feat." and the like; acts known as one artist aren't split."""
     s = _text(s)
-    low = trim(F.lower(s))
-    one = F.exists(F.array(*map(F.lit, P.ONE_ARTIST)), lambda a: F.contains(low, a) | F.contains(a, low))
+    acts = F.array(*map(F.lit, P.ONE_ARTIST))
+    # bound by a lambda: an expression inside exists() is evaluated for each act
+    one = F.get(F.transform(F.array(trim(F.lower(s))), lambda low: F.exists(acts, lambda a: F.contains(low, a) | F.contains(a, low))), 0)
     none = F.array().cast("array<string>")
 
     def split(pattern: str) -> Column:

@@ -74,3 +74,14 @@ def test_gates_and_progress(spark):
     df = spark.createDataFrame(rows, "n int, i int, d int, t int").select(C.percent_complete(*map(F.col, "nidt")))
     assert [r[0] for r in df.collect()] == [0.0, 25.0, 37.5, 0.0]
     assert [r[0] for r in spark.createDataFrame([(0.25,), (2.5,), (-0.5,)], "x double").select(C.half_up(F.col("x"))).collect()] == [0.0, 3.0, 0.0]
+
+
+def test_an_artist_is_prepared_once_not_for_each_act(spark):
+    plan = spark.createDataFrame([("A feat. B",)], "a string").select(T.artists("a").alias("x"))._jdf.queryExecution().analyzed().toString()
+    per_act = plan[plan.index("exists(") :]
+    depth = 0
+    for end, c in enumerate(per_act):
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if c == ")" and not depth:
+            break
+    assert "regexp_replace" not in per_act[:end]
