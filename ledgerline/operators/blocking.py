@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.similarity import score_distinct
+from ledgerline.storage import cut
 
 CANDIDATES = 15
 
@@ -33,3 +36,14 @@ def top_candidates(queries: DataFrame, targets: DataFrame, k: int = CANDIDATES)
     rank = F.row_number().over(Window.partitionBy("block", "q_title").orderBy(F.desc("score"), "target_id"))
     best = near.join(rows, ["block", "t_title"]).select("block", "q_title", "target_id", rank.alias("rank")).where(F.col("rank") <= k)
     return queries.select("query_id", "block", F.col("title").alias("q_title")).join(best, ["block", "q_title"]).select("query_id", "target_id", "rank")
+
+
+def by_content(items: DataFrame, content: list[str], rows: Callable[[DataFrame, Column], DataFrame], number: str, derived: list[Column | str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of items with the number of their content, the distinct contents with theirs and what is derived from them).
+
+    rows selects from items what differs from one to another, and the key that it is given. Nulls are equal.
+    """
+    key = F.struct(*content).alias("__key")
+    every = items.select(key).distinct().select("__key", "__key.*", F.monotonically_increasing_id().alias(number))
+    contents = cut(every.select("__key", number, *derived))
+    return rows(items, key).join(contents.select("__key", number), "__key").drop("__key"), contents.drop("__key")

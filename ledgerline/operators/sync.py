@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.albums import album_suggestions, match_albums
-from ledgerline.operators.matching import Matches, favorites_map
+from ledgerline.operators.matching import Matches, Prepared, favorites_map
 from ledgerline.operators.state import keep_last
 from ledgerline.storage import cut
 
@@ -85,16 +85,16 @@ def _decided(state: DataFrame, matched: DataFrame, favorites: DataFrame) -> Data
     )
 
 
-def classify(source: DataFrame, target: DataFrame, ledger_ids: DataFrame, favorites: DataFrame, chunk: int = CHUNK, prepared: bool = False) -> tuple[DataFrame, Matches]:
+def classify(source: DataFrame, target: DataFrame | Prepared, ledger_ids: DataFrame, favorites: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, Matches]:
     """(position, source_id, chunk, status, target_id, match_type, score, pending) of every source track.
 
     status: "skipped" for ids of the ledger; "already" where the raw code, as it stands, is a favorite's;
     "matched"; "missing". pending marks what has to be written. Favorites without a code aren't known to
-    be there. With prepared, target has been through prepare_target already.
+    be there. The target may have been through prepare_target already.
     """
     state = _open_state(source, ledger_ids, favorites, chunk)
     open_ = source.join(state.where("status IS NULL").select(F.col("source_id").alias("id")), "id", "left_semi")
-    matches = Matches(open_, target, favorites, prepared)
+    matches = Matches(open_, target, favorites)
     return _decided(state, matches.matched, favorites), matches
 
 
@@ -219,12 +219,12 @@ def _finished(classified: DataFrame, ledger_ids: DataFrame, suggestions: DataFra
     return SyncResult(classified, writes, ledger, report(classified), suggestions, errors)
 
 
-def run_sync(source: DataFrame, target: DataFrame, ledger_ids: DataFrame, favorites: DataFrame, chunk: int = CHUNK, dry_run: bool = False, sink: Callable[[list], None] | None = None, prepared: bool = False) -> SyncResult:
+def run_sync(source: DataFrame, target: DataFrame | Prepared, ledger_ids: DataFrame, favorites: DataFrame, chunk: int = CHUNK, dry_run: bool = False, sink: Callable[[list], None] | None = None) -> SyncResult:
     """A whole run. A dry run decides and reports alike, but writes nothing and adds nothing to the ledger.
 
     A batch that the sink fails on becomes an error, and its tracks stay out of the ledger.
     """
-    classified, matches = classify(source, target, ledger_ids, favorites, chunk, prepared)
+    classified, matches = classify(source, target, ledger_ids, favorites, chunk)
     return _finished(cut(classified), ledger_ids, matches.suggestions(), dry_run, sink)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scoring as C
 from ledgerline.operators import matching, state, sync
-from ledgerline.operators.blocking import top_candidates
 from ledgerline.plans import duck as D
 from ledgerline.plans import match_queries as Q
 from ledgerline.plans import music as M
@@ -197,9 +196,7 @@ def favorite_albums(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hit of a search for title and artist."""
     source, target = matching.prepare_source(M.source_tracks(spark, sf_dir)), matching.prepare_target(M.view(spark, sf_dir, M.TARGET))
-    asked = source.select(F.col("source_id").alias("query_id"), F.col("n_primary").alias("block"), F.col("n_title").alias("title"))
-    offered = target.select("target_id", F.col("tn_primary").alias("block"), F.col("tn_title").alias("title"))
-    return top_candidates(asked, offered, 1).select(F.col("query_id").alias("source_id"), "target_id")
+    return matching.candidates(source, target, 1).select("source_id", "target_id")
 
 
 def synced_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from ledgerline.operators.matching import prepare_target
 from ledgerline.operators.sync import chunk_reports, run_sync
-from ledgerline.storage import cut
 
 _COUNTERS = "tracks_matched bigint, tracks_not_matched bigint, tracks_skipped bigint, already_in_target bigint, code_matches bigint, fuzzy_matches bigint"
 #: Seconds between two looks at whether a run has been cancelled.
@@ -49,7 +48,7 @@ class ChunkedSync:
 
     def __init__(self, spark: SparkSession, folder: str, target: DataFrame, favorites: DataFrame, ledger_ids: DataFrame | None = None, sink: Callable[[list], None] | None = None):
         self.spark, self.folder, self.favorites, self.sink = spark, folder.rstrip("/"), favorites, sink
-        self.target = cut(prepare_target(target))
+        self.target = prepare_target(target)
         self.ledger_ids = spark.createDataFrame([], "source_id string") if ledger_ids is None else ledger_ids.select("source_id")
 
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -72,7 +71,7 @@ class ChunkedSync:
     def take(self, batch: DataFrame, batch_id: int) -> None:
         earlier = self.written().where(F.col("batch_id") != batch_id)
         there = self.favorites.unionByName(earlier.select(F.lit(None).cast("bigint").alias("position"), F.col("target_id").alias("id"), F.concat(F.lit("written-"), "target_id").alias("code")))
-        done = run_sync(batch, self.target, self.ledger_ids.union(earlier.select("source_id")), there, sink=self.sink, prepared=True)
+        done = run_sync(batch, self.target, self.ledger_ids.union(earlier.select("source_id")), there, sink=self.sink)
         counters = [c.split()[0] for c in _COUNTERS.split(", ")]
         for name, rows in (("writes", done.writes), ("errors", done.errors), ("reports", chunk_reports(done.classified).select("chunk", *counters))):
             rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch_id={batch_id}")

@@ -93,6 +93,24 @@ def test_candidates_against_all_pairs(spark):
     assert sorted(map(tuple, top_candidates(queries, targets, 7).collect())) == sorted(map(tuple, naive.collect()))
 
 
+def test_copies_of_a_song_are_searched_and_scored_once(tables):
+    source, target, _, _ = tables
+    copies = source.unionByName(source.withColumns({"id": F.concat(F.lit("copy-"), "id"), "position": F.col("position") + 100}))
+    later = target.unionByName(target.withColumns({"id": F.col("id") + 100, "code": F.lit(None).cast("string")}))
+    once, twice = matching.Matches(source, later), matching.Matches(copies, later)
+    assert 0 < once.scored.count() == twice.scored.count()
+    for rows in (lambda m: m.decisions().drop("position"), lambda m: m.suggestions()):
+        want, got = (sorted(map(repr, rows(m).collect())) for m in (once, twice))
+        assert len(got) == 2 * len(want) and [r for r in got if "copy-" not in r] == want == sorted(r.replace("copy-", "") for r in got if "copy-" in r)
+
+
+def test_tracks_of_one_song_have_their_own_durations_and_codes(spark):
+    target = spark.createDataFrame([(1, "Blue Moon", "Ella Ray", "Night", 200_000, None), (2, "Blue Moon", "Ella Ray", "Night", 300_000, "C2")], schemas.TARGET_TRACKS)
+    rows = [(k, f"s{k}", "Blue Moon", "Ella Ray", ["Ella Ray"], "Night", ms, code) for k, (ms, code) in enumerate([(200_000, None), (300_000, None), (None, None), (200_000, "c-2"), (500_000, None)])]
+    got = {r.source_id: (r.target_id, r.match_type) for r in matching.Matches(spark.createDataFrame(rows, schemas.SOURCE_TRACKS), target).decisions().collect()}
+    assert got == {"s0": (1, "fuzzy"), "s1": (2, "fuzzy_album"), "s2": (None, "none"), "s3": (2, "code"), "s4": (None, "none")}
+
+
 def test_empty_tables(spark, tables):
     none = [spark.createDataFrame([], df.schema) for df in tables]
     empty = sync.run_sync(none[0], none[1], none[3], none[2])
