@@ -265,13 +265,15 @@ def run_playlist_sync(playlists: DataFrame, tracks: DataFrame, catalog: DataFram
     target's lists with one name the first by id counts.
     """
     chosen = unchanged_playlists(selected(playlists, ids), ledger) if skip_unchanged else selected(playlists, ids).withColumn("skipped", F.lit(False))
-    own = tracks.join(chosen.where("NOT skipped").select(F.col("id").alias("playlist_id")), "playlist_id", "left_semi")
+    own = cut(tracks.select("playlist_id", "position", "id").join(chosen.where("NOT skipped").select(F.col("id").alias("playlist_id")), "playlist_id", "left_semi"))
     full = own.select(F.col("playlist_id").alias("id")).distinct().withColumn("__full", F.lit(True))
     named = there.groupBy(F.col("name").alias("target_name")).agg(F.min("id").alias("__there"))
     rows = chosen.withColumn("target_name", F.concat("name", F.lit(f" ({mark})"))).join(named, "target_name", "left").join(full, "id", "left")
     fresh = F.col("__full") & F.col("__there").isNull()
     lists = cut(rows.select("id", chunk_no("position", chunk).alias("chunk"), "skipped", "target_name", F.when(fresh, F.concat(F.lit("new-"), "id")).otherwise(F.col("__there")).alias("target_id"), F.coalesce(fresh, F.lit(False)).alias("created"), "snapshot_id", "tracks_count"))
-    once = own.drop("playlist_id", "position").dropDuplicates(["id"]).withColumn("position", F.lit(None).cast("bigint"))
+    # distinct rows hash where the tracks are, and only the ids of the chosen lists meet them: rows of lists aren't sorted to find a track's first
+    known = tracks.drop("playlist_id", "position").distinct().join(own.select("id").distinct(), "id", "left_semi")
+    once = cut(known.dropDuplicates(["id"]).withColumn("position", F.lit(None).cast("bigint")))
     matched = Matches(once, catalog).matched.select("source_id", F.col("target_id").alias("track_id"), "match_type")
     decisions = cut(own.select("playlist_id", "position", F.col("id").alias("source_id")).join(matched, "source_id", "left"))
     of = lists.where("NOT skipped").select(F.col("id").alias("playlist_id"), "target_id", "chunk")
