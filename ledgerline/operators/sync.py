@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -250,10 +251,27 @@ def selected(playlists: DataFrame, ids: DataFrame | list[str] | None) -> DataFra
 @dataclass
 class PlaylistResult:
     playlists: DataFrame  # (id, chunk, skipped, target_name, target_id, created)
-    additions: DataFrame  # (target_id, position, track_id, playlist_id, source_id)
-    decisions: DataFrame  # (playlist_id, position, source_id, track_id, match_type)
-    reports: DataFrame  # a row for each chunk of playlists
     ledger: DataFrame  # (playlist_id, snapshot_id, track_count) of what is synced now
+    _decide: Callable[[], tuple[DataFrame, DataFrame, DataFrame]]
+
+    @cached_property
+    def _decided(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self._decide()  # tracks are matched when first asked for: the lists don't depend on it
+
+    @property
+    def decisions(self) -> DataFrame:
+        """(playlist_id, position, source_id, track_id, match_type)"""
+        return self._decided[0]
+
+    @property
+    def additions(self) -> DataFrame:
+        """(target_id, position, track_id, playlist_id, source_id)"""
+        return self._decided[1]
+
+    @property
+    def reports(self) -> DataFrame:
+        """A row for each chunk of playlists."""
+        return self._decided[2]
 
 
 def run_playlist_sync(playlists: DataFrame, tracks: DataFrame, catalog: DataFrame, there: DataFrame, there_tracks: DataFrame, ledger: DataFrame, mark: str, ids: DataFrame | list[str] | None = None, skip_unchanged: bool = True, chunk: int = PLAYLIST_CHUNK) -> PlaylistResult:
@@ -271,20 +289,24 @@ def run_playlist_sync(playlists: DataFrame, tracks: DataFrame, catalog: DataFram
     rows = chosen.withColumn("target_name", F.concat("name", F.lit(f" ({mark})"))).join(named, "target_name", "left").join(full, "id", "left")
     fresh = F.col("__full") & F.col("__there").isNull()
     lists = cut(rows.select("id", chunk_no("position", chunk).alias("chunk"), "skipped", "target_name", F.when(fresh, F.concat(F.lit("new-"), "id")).otherwise(F.col("__there")).alias("target_id"), F.coalesce(fresh, F.lit(False)).alias("created"), "snapshot_id", "tracks_count"))
-    # distinct rows hash where the tracks are, and only the ids of the chosen lists meet them: rows of lists aren't sorted to find a track's first
-    known = tracks.drop("playlist_id", "position").distinct().join(own.select("id").distinct(), "id", "left_semi")
-    once = cut(known.dropDuplicates(["id"]).withColumn("position", F.lit(None).cast("bigint")))
-    matched = Matches(once, catalog).matched.select("source_id", F.col("target_id").alias("track_id"), "match_type")
-    decisions = cut(own.select("playlist_id", "position", F.col("id").alias("source_id")).join(matched, "source_id", "left"))
-    of = lists.where("NOT skipped").select(F.col("id").alias("playlist_id"), "target_id", "chunk")
-    wanted = decisions.where("track_id IS NOT NULL").groupBy("playlist_id", "track_id").agg(F.min(F.struct("position", "source_id")).alias("f")).join(of, "playlist_id")
-    missing_there = wanted.join(there_tracks.select(F.col("playlist_id").alias("target_id"), "track_id"), ["target_id", "track_id"], "left_anti")
-    ends = there_tracks.groupBy(F.col("playlist_id").alias("target_id")).agg(F.max("position").alias("__end"))
-    n = F.row_number().over(Window.partitionBy("target_id").orderBy("f.position", "track_id"))
-    additions = missing_there.withColumn("__n", n).join(ends, "target_id", "left").select("target_id", (F.coalesce("__end", F.lit(0)) + F.col("__n")).cast("bigint").alias("position"), "track_id", "playlist_id", F.col("f.source_id").alias("source_id"))
-    found = F.col("track_id").isNotNull()
-    counts = decisions.join(of.select("playlist_id", "chunk"), "playlist_id").groupBy("chunk").agg(F.count_if(found).alias("tracks_matched"), F.count_if(~found).alias("tracks_not_matched"), F.count_if(F.col("match_type") == "code").alias("code_matches"), F.count_if(found & (F.col("match_type") != "code")).alias("fuzzy_matches"))
-    per_chunk = lists.groupBy("chunk").agg(F.count("*").alias("playlists"), F.count_if("skipped").alias("playlists_skipped"))
-    reports = per_chunk.join(counts, "chunk", "left").na.fill(0)
+
+    def decide() -> tuple[DataFrame, DataFrame, DataFrame]:
+        # distinct rows hash where the tracks are, and only the ids of the chosen lists meet them: rows of lists aren't sorted to find a track's first
+        known = tracks.drop("playlist_id", "position").distinct().join(own.select("id").distinct(), "id", "left_semi")
+        once = cut(known.dropDuplicates(["id"]).withColumn("position", F.lit(None).cast("bigint")))
+        matched = Matches(once, catalog).matched.select("source_id", F.col("target_id").alias("track_id"), "match_type")
+        decisions = cut(own.select("playlist_id", "position", F.col("id").alias("source_id")).join(matched, "source_id", "left"))
+        of = lists.where("NOT skipped").select(F.col("id").alias("playlist_id"), "target_id", "chunk")
+        wanted = decisions.where("track_id IS NOT NULL").groupBy("playlist_id", "track_id").agg(F.min(F.struct("position", "source_id")).alias("f")).join(of, "playlist_id")
+        missing_there = wanted.join(there_tracks.select(F.col("playlist_id").alias("target_id"), "track_id"), ["target_id", "track_id"], "left_anti")
+        ends = there_tracks.groupBy(F.col("playlist_id").alias("target_id")).agg(F.max("position").alias("__end"))
+        n = F.row_number().over(Window.partitionBy("target_id").orderBy("f.position", "track_id"))
+        additions = missing_there.withColumn("__n", n).join(ends, "target_id", "left").select("target_id", (F.coalesce("__end", F.lit(0)) + F.col("__n")).cast("bigint").alias("position"), "track_id", "playlist_id", F.col("f.source_id").alias("source_id"))
+        found = F.col("track_id").isNotNull()
+        counts = decisions.join(of.select("playlist_id", "chunk"), "playlist_id").groupBy("chunk").agg(F.count_if(found).alias("tracks_matched"), F.count_if(~found).alias("tracks_not_matched"), F.count_if(F.col("match_type") == "code").alias("code_matches"), F.count_if(found & (F.col("match_type") != "code")).alias("fuzzy_matches"))
+        per_chunk = lists.groupBy("chunk").agg(F.count("*").alias("playlists"), F.count_if("skipped").alias("playlists_skipped"))
+        reports = per_chunk.join(counts, "chunk", "left").na.fill(0)
+        return decisions, additions, reports
+
     synced = lists.where("NOT skipped").select(F.col("id").alias("playlist_id"), "snapshot_id", F.col("tracks_count").alias("track_count"))
-    return PlaylistResult(lists.drop("snapshot_id", "tracks_count"), additions, decisions, reports, synced)
+    return PlaylistResult(lists.drop("snapshot_id", "tracks_count"), synced, decide)

@@ -140,3 +140,17 @@ def test_copies_of_an_album_are_scored_once(spark, monkeypatch):
 def test_code_map_keeps_the_last(spark):
     rows = spark.createDataFrame([(1, 10, "A-1"), (2, 11, "a1"), (3, 12, None), (4, None, "a1"), (5, 13, "")], schemas.FAVORITES)
     assert [tuple(r) for r in matching.favorites_map(rows).collect()] == [("A1", 11)]
+
+
+def test_lists_dont_wait_for_their_tracks(spark, tables, monkeypatch):
+    playlists = spark.createDataFrame([("p", 1, "Mine", 2, "x"), ("q", 2, "Empty", 0, "x")], "id string, position bigint, name string, tracks_count int, snapshot_id string")
+    tracks = tables[0].where("id IN ('s5', 's7')").withColumn("playlist_id", F.lit("p"))
+    there = spark.createDataFrame([], "id string, name string")
+    there_tracks = spark.createDataFrame([], "playlist_id string, position bigint, track_id bigint")
+    ledger = spark.createDataFrame([], "playlist_id string, snapshot_id string, synced_at int")
+    runs, whole = [], sync.Matches
+    monkeypatch.setattr(sync, "Matches", lambda *a: runs.append(1) or whole(*a))
+    done = sync.run_playlist_sync(playlists, tracks, tables[1], there, there_tracks, ledger, "m")
+    assert {(r.id, r.target_id, r.created) for r in done.playlists.collect()} == {("p", "new-p", True), ("q", None, False)} and not runs
+    assert {(r.source_id, r.track_id, r.position) for r in done.additions.collect()} == {("s5", 3, 1), ("s7", 1, 2)}
+    assert done.reports.first().tracks_matched == 2 and len(runs) == 1
